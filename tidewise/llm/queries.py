@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import packing, simhash, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +26,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_topk_search": op2_topk_search,
         "op3_token_counts": op3_token_counts,
         "op5_packing": op5_packing,
+        "op7_simhash": op7_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_topk_search": topk.TOP_K_SQL,
+    }
