@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, simhash, tokens, topk
+from . import imatch, langid, packing, quality, simhash, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_topk_search": op2_topk_search,
@@ -50,6 +54,7 @@ def queries() -> dict[str, Query]:
         "op5_packing": op5_packing,
         "op7_simhash": op7_simhash,
         "op8_language_id": op8_language_id,
+        "op9_imatch": op9_imatch,
     }
 
 
