@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, langid, packing, pii, quality, simhash, tokens, topk
+from . import imatch, langid, linededup, mixing, packing, pii, quality, simhash, tokens, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -50,6 +54,10 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -57,13 +65,17 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_simhash": op7_simhash,
         "op8_language_id": op8_language_id,
         "op9_imatch": op9_imatch,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_topk_search": topk.TOP_K_SQL,
+        "op6_line_dedup": linededup.REPORT_SQL,
+        "op10_mixing": mixing.REPORT_SQL,
     }
