@@ -89,19 +89,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int =
     return gbt.fit(np.array(rows["_stats"].tolist()), rows["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, trees: gbt.Trees, *keep: str) -> DataFrame:
-    """The kept columns of docs and `score`, the probability of label 1, for every row."""
-    measured = with_statistics(docs, *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.drop("_stats").schema) + ", score double"
-    kept = docs.select(*keep, text_or_empty().alias("_text"))
+def score(docs: DataFrame, trees: gbt.Trees) -> DataFrame:
+    """docs with `score`, the probability of label 1, for every row; an old column of that name goes."""
+    python_batches(docs.sparkSession)
+    docs = docs.drop("score")
+    text = docs.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(trees.probability(x))], names=[*keep, "score"])
+            texts = batch.column(text).to_pylist()
+            x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.probability(x))], names=[*batch.schema.names, "score"])
+
+    return docs.mapInArrow(scored, schema)
+
 
-    return kept.mapInArrow(scored, schema)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with the columns they had."""
+    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -112,5 +118,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     ignored; an empty table gives an empty result.
     """
     trees = train(docs, labels)
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trees, "doc_id")
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trees).drop("text")
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -52,16 +52,18 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row of docs; a null text counts as empty (fingerprint 0)."""
+    """(row, doc_id, fp) for every row of docs, numbered the same whenever the same input is read; a
+    null text counts as empty (fingerprint 0)."""
     python_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+        schema = pa.schema([(n, pa.int64()) for n in ("row", "doc_id", "fp")])
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], schema=schema)
+            fps = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
+    return rows.mapInArrow(hashed, "row long, doc_id long, fp long")
 
 
 def shard_keys(fp: Column, radius: int) -> Column:
@@ -175,6 +177,12 @@ def links_within(distinct: DataFrame, radius: int = 4, hot: int = 4096) -> DataF
     return rows.mapInArrow(searched, "a long, b long")
 
 
+def rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """`distinct` (fp and more) with the root of the component of each fp."""
+    roots = connected_components(links_within(distinct.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    return checkpointed(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of docs.
 
@@ -184,10 +192,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     all ids of a component are null.  Equal texts are searched once.  Columns other than doc_id and
     text are ignored; an empty table gives an empty result.
     """
-    hashed = checkpointed(fingerprints(docs, shingle))
-    distinct = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links_within(distinct, radius)).select(F.col("node").alias("fp"), "root")
-    rooted = checkpointed(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return hashed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    hashed = checkpointed(fingerprints(docs.select("doc_id", "text"), shingle))
+    distinct = rooted(checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius)
+    least = distinct.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Keyed by a struct, both sides are dealt anew for the join, so that a very common fingerprint can be split.
+    classes = distinct.select("fp", "root").join(least, "root").select(F.struct("fp").alias("key"), "component_id")
+    found = hashed.withColumn("key", F.struct("fp")).join(classes, "key")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """The first row of each component, by doc_id (null ids last), with the columns it had."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    distinct = fingerprints(docs, shingle).groupBy("fp").agg(first)
+    kept = rooted(checkpointed(distinct), radius).groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
