@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -17,10 +19,29 @@ def micros(df: DataFrame, time: str) -> Column:
     return F.unix_micros(F.col(time) if isinstance(kind, T.TimestampType) else F.col(time).cast("timestamp"))
 
 
+US = "__us"
+
+
+def with_us(df: DataFrame, time: str) -> DataFrame:
+    """df with the time in microseconds as a column.  Windows that order by one and the same column
+    share one exchange and one sort, which windows over a repeated expression would not."""
+    return df if US in df.columns else df.withColumn(US, micros(df, time))
+
+
+def timed(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lends an operator (df, time, ...) the column of with_us; it stays only if df brought it."""
+
+    @wraps(operator)
+    def run(df: DataFrame, time: str, *args: Any, **kwargs: Any) -> DataFrame:
+        out = operator(with_us(df, time), time, *args, **kwargs)
+        return out if US in df.columns else out.drop(US)
+
+    return run
+
+
 def series(df: DataFrame, time: str, keys: Sequence[str]) -> WindowSpec:
-    """One window per series, in time order; every operator orders by this expression, so that plans
-    share one exchange and one sort."""
-    return Window.partitionBy(*keys).orderBy(micros(df, time))
+    """One window per series, in time order."""
+    return Window.partitionBy(*keys).orderBy(F.col(US) if US in df.columns else micros(df, time))
 
 
 def trailing(spec: WindowSpec, days: float) -> WindowSpec:

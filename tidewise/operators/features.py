@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.calendar import calendar
-from ..functions.windows import DAY, aggregate_over, default_periods, micros, series, trailing
+from ..functions.windows import DAY, US, aggregate_over, default_periods, series, timed, trailing, with_us
 
 LONG_SPAN = 30
 COMPARE = {
@@ -49,6 +49,7 @@ def shifted(df: DataFrame, feature: str, lag: int, over: WindowSpec) -> Column:
     return F.lag(F.col(feature), lag).over(over).cast("double") if lag else F.col(feature).cast("double")
 
 
+@timed
 def lag_features(df: DataFrame, time: str, keys: Sequence[str], features: Iterable[str] | str, lags: Iterable[int] | int, target: str | None = None) -> DataFrame:
     """The values of n rows ago; lags start at 1, lags of the target are doubles."""
     features, lags = names.as_list(features), [lags] if isinstance(lags, int) else list(lags)
@@ -59,6 +60,7 @@ def lag_features(df: DataFrame, time: str, keys: Sequence[str], features: Iterab
     return df.withColumns({names.lagged(f, n): F.lag(f, n).over(w).cast("double") if f == target else F.lag(f, n).over(w) for f in features for n in lags})
 
 
+@timed
 def difference_features(df: DataFrame, time: str, keys: Sequence[str], features: Iterable[str] | str, periods: int = 1) -> DataFrame:
     """The value less that of `periods` rows ago."""
     features = names.as_list(features)
@@ -90,10 +92,11 @@ def with_group(df: DataFrame, time: str, keys: Sequence[str], features: list[str
         return make(df, list(keys), None)
     columns = names.as_list(groupers["columns"])
     require(df, columns)
-    upper = make(rolled_up(df, time, features, columns, groupers.get("operation", "sum")), columns, groupers["name"])
-    return joined_back(df, upper.drop(*features), [*columns, time])
+    upper = make(with_us(rolled_up(df, time, features, columns, groupers.get("operation", "sum")), time), columns, groupers["name"])
+    return joined_back(df, upper.drop(US, *features), [*columns, time])
 
 
+@timed
 def calc_statistical_features(
     df: DataFrame, time: str, keys: Sequence[str], features: Iterable[str] | str, windows: Iterable[int] = (7,), aggregations: Iterable[str] | str = ("max", "min", "std", "mean", "median"), lag: int = 1,
     groupers: Mapping[str, Any] | None = None, min_periods: int | None = 1, momentums: bool = False, percentages: bool = False,
@@ -153,17 +156,16 @@ def ewma_by_pandas(df: DataFrame, time: str, keys: list[str], columns: dict[str,
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
-    marked = df.withColumn("__us", micros(df, time))
-
     def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__us", kind="stable")
+        frame = frame.sort_values(US, kind="stable")
         for name, (x, span, least, adjust) in columns.items():
             frame[name] = frame[x].astype("float64").ewm(span=span, adjust=adjust, min_periods=least).mean()
-        return frame.drop(columns="__us")
+        return frame
 
-    return marked.groupBy(*(F.col(k) for k in keys)).applyInPandas(smooth, schema)
+    return df.groupBy(*(F.col(k) for k in keys)).applyInPandas(smooth, schema)
 
 
+@timed
 def calc_ewma(
     df: DataFrame, time: str, keys: Sequence[str], features: Iterable[str] | str, windows: Iterable[int] = (7,), lag: int = 1, groupers: Mapping[str, Any] | None = None,
     min_periods: int | None = None, crossovers: bool = False, adjust: bool = True,
@@ -197,6 +199,7 @@ def calc_ewma(
     return with_group(df, time, keys, features, groupers, make)
 
 
+@timed
 def calc_percent_relative_to_threshold(
     df: DataFrame, time: str, keys: Sequence[str], features: Iterable[str] | str, windows: Iterable[int] = (7,), lag: int = 1, groupers: Mapping[str, Any] | None = None,
     min_periods: int | None = 1, threshold: float = 0, operator: str = "greater",
@@ -219,6 +222,7 @@ def calc_percent_relative_to_threshold(
     return with_group(df, time, keys, features, groupers, make)
 
 
+@timed
 def calc_percent_change(df: DataFrame, time: str, keys: Sequence[str], feature: str, lag: int = 1, groupers: Mapping[str, Any] | None = None) -> DataFrame:
     """The lagged value over that of the row before it, less 1, within a series; a zero or null below
     gives null.  Groupers only change the keys; rows of one time are then ordered by the other keys."""
@@ -227,18 +231,19 @@ def calc_percent_change(df: DataFrame, time: str, keys: Sequence[str], feature:
     w = series(df, time, own)
     rest = [k for k in keys if k not in own]
     if rest:
-        w = w.orderBy(micros(df, time), *rest)
+        w = w.orderBy(US, *rest)
     x = F.col(feature).cast("double")
     ratio = F.try_divide(F.lag(x, lag).over(w) if lag else x, F.lag(x, lag + 1).over(w)) - 1
     return df.withColumn(names.changed(feature, lag, groupers["name"] if groupers else None), ratio)
 
 
+@timed
 def calc_days_since_release(df: DataFrame, time: str, keys: Sequence[str], target: str, ignore_leading_zeroes: bool = True) -> DataFrame:
     """Whole days since the series' first row with a positive target (or its first row at all).  Series
     that never sold are dropped, unless the panel has no keys."""
     from pyspark.sql import Window
 
-    us = micros(df, time)
+    us = F.col(US)
     first = F.min(F.when(F.col(target) > 0, us) if ignore_leading_zeroes else us).over(Window.partitionBy(*keys))
     out = df.withColumn("__first", first)
     if keys:

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..functions.windows import US, with_us
 from ..operators import features as ops
 from ..operators import transforms
 from ..operators.relational import drop_short_lags
@@ -91,9 +92,10 @@ class ScalerSpec:
 
 def replay(df: DataFrame, specs: Sequence[Spec], context: Context, min_lags: dict[str, int] | None = None) -> DataFrame:
     """All recorded features on df, less the lags that are too short."""
+    df = with_us(df, context.time)
     for spec in specs:
         df = spec.apply(df, context)
-    return drop_short_lags(df, min_lags, context.target)
+    return drop_short_lags(df.drop(US), min_lags, context.target)
 
 
 def fit_scalers(df: DataFrame, scalers: Sequence[ScalerSpec]) -> tuple[DataFrame, list]:

@@ -241,18 +241,22 @@ class Panel:
             return out
         return out.select(self.time, self.target, f"predicted_{self.target}", *self.keys, *(["hierarchy"] if append_hierarchy_col else []))
 
-    def fold_data(self, bounds: split.Bounds, unit: str = "date", min_lag_dict: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame, list]:
-        """Train and test of a fold: scalers are fitted on train only, and features see train values but
+    def fold_frame(self, bounds: split.Bounds, unit: str = "date", min_lag_dict: Mapping[str, int] | None = None) -> tuple[DataFrame, list]:
+        """A fold's rows with __train: scalers are fitted on train only, and features see train values but
         no test value; the target of both is scaled."""
         ranked, _ = split.positioned(self.frame, self.time, self.keys, unit)
         p = F.col("__position")
         used = ranked.where((p < bounds.train_end) | ((p >= bounds.test_start) & (p < bounds.test_end)))
-        is_train = p < bounds.train_end
-        _, fitted = fit_scalers(used.where(is_train).drop("__position"), self.scalers)
-        frame = split.masked(transforms.apply_scalers(used, fitted), self.target, is_train)
+        used = used.withColumn("__train", p < bounds.train_end).drop("__position")
+        _, fitted = fit_scalers(used.where("__train"), self.scalers)
+        frame = split.masked(transforms.apply_scalers(used, fitted), self.target, F.col("__train"))
         engineered = replay(frame, self.specs, self.context, dict(min_lag_dict or {}))
-        engineered = engineered.withColumn(self.target, F.col("__actual")).drop("__actual")
-        return engineered.where(is_train).drop("__position"), engineered.where(~is_train).drop("__position"), fitted
+        return engineered.withColumn(self.target, F.col("__actual")).drop("__actual"), fitted
+
+    def fold_data(self, bounds: split.Bounds, unit: str = "date", min_lag_dict: Mapping[str, int] | None = None) -> tuple[DataFrame, DataFrame, list]:
+        """Train and test of a fold, and its scalers."""
+        frame, fitted = self.fold_frame(bounds, unit, min_lag_dict)
+        return frame.where("__train").drop("__train"), frame.where("not __train").drop("__train"), fitted
 
     def cross_validate(
         self, model: str = "gbt", future_periods: int | None = None, params: Mapping[str, Sequence[Any]] | str | None = None, folds: int = 5, gap: int = 0, min_lag_dict: Mapping[str, int] | None = None,
@@ -265,13 +269,14 @@ class Panel:
         name = f"predicted_{own.target}"
 
         def one(bounds: split.Bounds) -> Fold:
-            train, test, fitted = own.fold_data(bounds, unit, min_lag_dict)
-            train = train.cache()
+            frame, fitted = own.fold_frame(bounds, unit, min_lag_dict)
+            frame = frame.persist()  # search, fit and both forecasts read it
+            train, test = frame.where("__train").drop("__train"), frame.where("not __train").drop("__train")
             try:
                 best, error = models.search(train, own.time, own.keys, own.target, model, grid, search_strategy, n_iter, quantile=quantile)
                 made = models.fit(train, own.time, own.keys, own.target, model, quantile, **best)
             finally:
-                train.unpersist()
+                frame.unpersist()
             undo = {c: transforms.undo_on(F.col(c), own.target, fitted) for c in (own.target, name)}
             return Fold(bounds.fold, made.predict(train, name).withColumns(undo), made.predict(test, name).withColumns(undo), best, error)
 
