@@ -223,4 +223,4 @@ def test_future_and_save(df, spark, tmp_path):
 def test_date_texts(spark):
     for start, step, want in (("1980-01-01", "1 day", "Jan. 1 1980"), ("1980-01-01", "1 month", "Jan. 1980"), ("1980-12-31", "12 months", "1980")):
         times = spark.sql(f"select explode(sequence(timestamp '{start}', timestamp '{start}' + interval '12' year, interval {step})) t").limit(6)
-        assert sorted(r[0] for r in relational.format_dates(times, "t", "s").select("s").collect() if r[0].endswith("1980"))[0] == want
+        assert want in {r[0] for r in relational.format_dates(times, "t", "s").select("s").collect()}
