@@ -48,12 +48,13 @@ def fold(modulus: int, column: str = "doc_id") -> Any:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def worker_cache(name: str, make: Callable[[], Any]) -> Any:
-    """A value that lives as long as the Python worker process, whatever number of tasks it serves."""
+def worker_cache(name: str, version: Any, make: Callable[[], Any]) -> Any:
+    """A value that lives as long as the Python worker process, whatever number of tasks it serves; only
+    the last version of a name is kept."""
     import sys
     import types
 
     home = sys.modules.setdefault("_tidewise_worker", types.ModuleType("_tidewise_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, name, (None,))[0] != version:
+        setattr(home, name, (version, make()))
+    return getattr(home, name)[1]

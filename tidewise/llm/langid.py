@@ -108,7 +108,7 @@ def prototypes(docs: DataFrame, sample: int = 20_000, seed: int = 8) -> tuple[li
         taught = taught.where(F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache("langid", Encoder)
+        encoder = worker_cache("langid", DIMS, Encoder)
         schema = pa.schema([("lang", pa.string()), ("dim", pa.int32()), ("value", pa.float64())])
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -142,7 +142,7 @@ def identify(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache("langid", Encoder)
+        encoder = worker_cache("langid", DIMS, Encoder)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names: list[str] = []

@@ -159,12 +159,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
     2**40 plus a count, so ids are unique without any exchange.
     """
     python_batches(docs.sparkSession)
-    key = f"words_{abs(hash(path))}"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe = worker_cache(key, lambda: WordBpe(path))
+        bpe = worker_cache("word_bpe", path, lambda: WordBpe(path))
         task, used = TaskContext.get().partitionId() << 40, 0
         closing = np.array([end_id], np.uint32).tobytes()
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])

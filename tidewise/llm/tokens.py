@@ -171,10 +171,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, table_size: int
             if len(table) >= table_size:
                 break
     shared = spark.sparkContext.broadcast(table)
-    key = f"bpe_{abs(hash(path))}_{shared._jbroadcast.id()}"
+    version = (path, shared._jbroadcast.id())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_cache(key, lambda: ByteBpe(path, shared.value))
+        bpe = worker_cache("byte_bpe", version, lambda: ByteBpe(path, shared.value))
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
         for batch in batches:
             texts = batch.column(1).to_pylist()
