@@ -30,8 +30,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return simhash.keep_one(docs, shingle=5, radius=4)
+    """One document of each group of near copies (five-word shingles, similarity of about 0.8 or more)
+    stays: the one with the smallest doc_id."""
+    return simhash.keep_one(docs, shingle=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row that stays the same however often and for whatever columns the
+    plan runs.  Reading and filtering files gives that; a plan with an exchange, where the order of rows
+    may depend on the columns asked for, is checkpointed first."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return (checkpointed(docs) if "Exchange" in plan else docs).withColumn(name, F.monotonically_increasing_id())
+
+
 def text_or_empty(name: str = "text") -> Any:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, numbered, text_or_empty
 
 WINDOW = 3
 #: SQL: non-blank lines (white space at both ends ignored) with their places, from 0.
@@ -49,11 +49,6 @@ def marked(rows: DataFrame, long_words: int) -> DataFrame:
     return later.select("row", F.explode("places").alias("place")).groupBy("row").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, the same whenever the same input is read."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def dedup_lines(docs: DataFrame, long_words: int = 50) -> DataFrame:
     """docs, every column kept, with the marked lines taken out of text, and _lines and _removed, the
     numbers of lines it had and lost.
@@ -63,7 +58,7 @@ def dedup_lines(docs: DataFrame, long_words: int = 50) -> DataFrame:
     lines and stays null; a text may become empty.  Rows that repeat lose what the first of them
     keeps.  An empty table gives an empty result.
     """
-    rows = numbered(docs)
+    rows = numbered(docs, "_row")
     base = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
     marks = checkpointed(marked(base, long_words).withColumnRenamed("row", "_row").withColumnRenamed("places", "_places"))
     joined = rows.join(marks.hint("shuffle_hash"), "_row", "left")

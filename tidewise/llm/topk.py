@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import numbered, shuffle_partitions
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -128,7 +128,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 16_384
     spark = vectors.sparkSession
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = vectors.select("vec_id", "embedding", F.monotonically_increasing_id().alias("row"))
+    rows = numbered(vectors.select("vec_id", "embedding"), "row")
     rows = rows.where(x.isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(False)))
     rows = rows.select(F.col("vec_id").cast("long"), "row", F.transform(x, lambda v: F.floor(v.cast("double") * 1024)).cast("array<long>").alias("q"))
     asked = rows.where(F.col("vec_id") % every == 0)
