@@ -521,6 +521,72 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(relational.preview(events_panel(spark, sf_dir), "dt", PE_KEYS, 20), PE_KEYS, "n")
 
 
+NAIVE_FOLDS = f"""{FOLDS.replace(PL, NAIVE)}, e AS (
+  SELECT f.*, fold, CASE WHEN p < train_end THEN 'train' ELSE 'test' END AS sample, {ERRORS} FROM f JOIN (SELECT rf, ls, dt, p FROM d) USING (rf, ls, dt), b WHERE p < train_end OR (p >= test_start AND p < test_end))"""
+
+
+def naive_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.fold_assignment(naive(spark, sf_dir), "dt", PL_KEYS, folds=3, gap=2)
+
+
+@query("fold_errors", f'WITH {NAIVE_FOLDS} SELECT fold, sample, count(*) AS n, ' + ", ".join(f'round(avg("{c}"), 4) AS "{c}"' for c in metrics.ROW_METRICS) + " FROM e GROUP BY fold, sample")
+def fold_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = summaries.fold_errors(naive_folds(spark, sf_dir), "qty", "predicted_qty")
+    return out.select("fold", "sample", "n", *(rounded(c).alias(c) for c in metrics.ROW_METRICS))
+
+
+@query("summary_median", f'WITH {NAIVE_FOLDS} SELECT sample, round(quantile_cont("Absolute Percent Error", 0.5), 4) AS value FROM e WHERE fold = 2 GROUP BY sample')
+def summary_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = summaries.row_errors(naive_folds(spark, sf_dir), "qty", "predicted_qty")
+    return summaries.summarised(errors, "median", 2).select("sample", rounded("value").alias("value"))
+
+
+@query("summary_weighted", f'WITH {NAIVE_FOLDS} SELECT sample, round(sum("Absolute Percent Error" * "Actuals") / nullif(sum("Actuals") FILTER ("Absolute Percent Error" IS NOT NULL), 0), 4) AS value FROM e GROUP BY sample')
+def summary_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = summaries.row_errors(naive_folds(spark, sf_dir), "qty", "predicted_qty")
+    return summaries.summarised(errors, "weighted").select("sample", rounded("value").alias("value"))
+
+
+@query("errors_by_fold_frame", f'WITH {NAIVE_FOLDS} SELECT fold, sample, metric, round(value, 4) AS value FROM (SELECT fold, sample, ' + ", ".join(f'"{c}"' for c in metrics.ROW_METRICS) + ' FROM e) UNPIVOT INCLUDE NULLS (value FOR metric IN (' + ", ".join(f'"{c}"' for c in metrics.ROW_METRICS) + "))")
+def errors_by_fold_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = summaries.errors_by_fold_frame(naive_folds(spark, sf_dir), "qty", "predicted_qty")
+    return out.select("fold", "sample", "metric", rounded("value").alias("value"))
+
+
+@query("predictions_frame", f'WITH {NAIVE} SELECT rf, ls, {DAY}, series, round(value, 4) AS value FROM (SELECT rf, ls, dt, qty AS "Actual", predicted_qty AS "Prediction" FROM f) UNPIVOT INCLUDE NULLS (value FOR series IN ("Actual", "Prediction"))')
+def predictions_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(summaries.predictions_frame(naive(spark, sf_dir), "dt", PL_KEYS, "qty", "predicted_qty"), PL_KEYS, "series", "value")
+
+
+@query("asymmetric_error", f"WITH {NAIVE} SELECT rf, round(avg((qty - predicted_qty) * (qty - predicted_qty) * CASE WHEN qty > predicted_qty THEN 10 ELSE 1 END), 4) AS error FROM f GROUP BY rf")
+def asymmetric_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = metrics.asymmetric_squared_error(F.col("qty"), F.col("predicted_qty"))
+    return naive(spark, sf_dir).groupBy("rf").agg(rounded(F.avg(error)).alias("error"))
+
+
+@query("weighted_rmse", f"WITH {NAIVE} SELECT rf, round(sqrt(sum((qty - predicted_qty) * (qty - predicted_qty) * n) / sum(n) FILTER (predicted_qty IS NOT NULL)), 4) AS rmse FROM f GROUP BY rf")
+def weighted_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = metrics.rmse(F.col("qty"), F.col("predicted_qty"), F.col("n").cast("double"))
+    return naive(spark, sf_dir).groupBy("rf").agg(rounded(error).alias("rmse"))
+
+
+@query("short_lags_dropped", f"WITH {PL} SELECT rf, ls, {DAY}, lag(qty, 7) OVER w AS qty_lag7 FROM pl WINDOW {W}")
+def short_lags_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = Panel.create(lineitem_panel(spark, sf_dir), "dt", "qty", PL_KEYS, check=False).lag_features("qty", [1, 7]).calc_statistical_features("qty", windows=[7], aggregations=["mean"], momentums=True)
+    out = panel.data(min_lag_dict={"qty": 7})
+    return shown(out, PL_KEYS, *(c for c in out.columns if c.startswith("qty_")))
+
+
+@query("load_test_copies", "SELECT r_name, count(*) AS n FROM region, (SELECT unnest(range(8))) GROUP BY r_name")
+def load_test_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.repeated(load(spark, sf_dir, "region"), 3).groupBy("r_name").agg(F.count("*").alias("n"))
+
+
+@query("first_rows", f"WITH {PO} SELECT seg, prio, {DAY}, n FROM po QUALIFY row_number() OVER (PARTITION BY seg, prio ORDER BY dt) <= 3")
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(relational.first_rows_of_groups(orders_panel(spark, sf_dir), "dt", PO_KEYS, 3), PO_KEYS, "n")
+
+
 # Models: not expressible in SQL
 
 
