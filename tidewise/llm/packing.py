@@ -2,7 +2,7 @@
 
 A text's ids and its closing id are cut at multiples of the window; full pieces are windows of their
 own.  The remainders are taken in groups of about `group_size` as a task reads them, and each group
-is divided among m windows, the fewest that could hold it: every remainder starts as a partition of
+is divided among m windows, a little fewer than could hold it (`crowding`): every remainder starts as a partition of
 m windows with one item; the two partitions with the largest spread (fullest minus emptiest) are
 merged, fullest window onto emptiest, until one is left.  Where a window then exceeds the capacity,
 its last piece is cut there, and what is over waits for the next group, or in the end for windows of
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -58,9 +59,9 @@ def balanced(lengths: list[int], windows: int) -> list[list[int]]:
     return heap[0][3]
 
 
-def windows_of(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Item numbers by near-equal window: as few windows as the sum needs."""
-    return [w for w in balanced(lengths, max(1, -(-sum(lengths) // capacity))) if w] if lengths else []
+def windows_of(lengths: list[int], capacity: int, crowding: float = 1.0) -> list[list[int]]:
+    """Item numbers by near-equal window: as few windows as the sum needs, or fewer by `crowding`."""
+    return [w for w in balanced(lengths, max(1, math.ceil(sum(lengths) / (capacity * crowding)))) if w] if lengths else []
 
 
 class WordBpe:
@@ -150,7 +151,7 @@ class WordIds(dict):
         return ids
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, group_size: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, group_size: int = 1024, crowding: float = 1.06) -> DataFrame:
     """Packs all docs into sequences of at most `capacity` ids; one row per piece.
 
     A null text counts as empty, and every document ends with `end_id`, so an empty one is a piece of
@@ -169,10 +170,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
         rest: list[tuple] = []  # doc_id, start, ids' bytes, tokens of the document
 
-        def grouped() -> list[tuple]:
+        def grouped(last: bool = False) -> list[tuple]:
             nonlocal used
             out, over = [], []
-            for window in windows_of([len(r[2]) // 4 for r in rest], capacity):
+            for window in windows_of([len(r[2]) // 4 for r in rest], capacity, 1.0 if last else crowding):
                 at = 0
                 for doc_id, start, ids, n in sorted((rest[i] for i in window), key=lambda r: -len(r[2])):
                     ids, left = ids[: 4 * (capacity - at)], ids[4 * (capacity - at) :]
@@ -205,6 +206,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
             if out:
                 yield batch_of(out)
         while rest:
-            yield batch_of(grouped())
+            yield batch_of(grouped(last=True))
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, SCHEMA)
