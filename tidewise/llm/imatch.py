@@ -15,6 +15,7 @@ hashes among the subsets of their common levels in which either has a term.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,26 +54,32 @@ def lexicon(docs: DataFrame, idf_low: float = math.log(10), idf_high: float = ma
     return out
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
-    """level '.' hashes of the subsets at that level and the next ('-': no term); without any term in
-    the band, '-1.' and a hash of all terms."""
-    hashes = term_hashes(text)
-    kept = F.filter(F.sort_array(F.array_distinct(hashes)), lambda h: F.getbit(F.element_at(bits, (F.shiftright(term_class(h), 6) + 1).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1)
+def fingerprint(text: str, bits: Column, name: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds `name`: level '.' hashes of the subsets at that level and the next ('-': no term); without any
+    term in the band, '-1.' and a hash of all terms.
 
-    def signed(terms: Column) -> Column:
-        level = F.floor(F.log2(F.size(terms).cast("double"))).cast("int")
+    What several expressions use, or a lambda uses for each of its elements, is named by a transform over
+    a one-element array, so that it is computed once.
+    """
+    words = f"split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+')"
+    everything = f"lower(hex(xxhash64(sort_array(array_distinct(transform(filter({words}, w -> w <> ''), w -> xxhash64(w)))))))"
+    subsets = f"""transform(transform(sequence(0, {SUBSETS - 1}), r -> shiftleft(shiftleft(1L, level) - 1L, {CLASS_BITS} + 3 * r)), own -> filter(terms, h -> (h & own) = 0))"""
+    deeper = f"transform(subsets, (s, r) -> element_at(transform(array(shiftleft(1L, {CLASS_BITS} + 3 * r + level)), own -> filter(s, h -> (h & own) = 0)), 1))"
+    hashes = "array_join(transform(concat(subsets, deeper), s -> case when size(s) > 0 then lower(hex(xxhash64(s))) else '-' end), '.')"
+    signed = f"""element_at(transform(array(cast(floor(log2(cast(size(terms) as double))) as int)), level ->
+      element_at(transform(array({subsets}), subsets -> element_at(transform(array({deeper}), deeper -> concat(cast(level as string), '.', {hashes})), 1)), 1)), 1)"""
+    whole = f"element_at(transform(_terms_in, terms -> case when size(terms) > 0 then {signed} else concat('-1.', {everything}) end), 1)"
+
+    def add(df: DataFrame) -> DataFrame:
+        banded = F.filter(F.transform(F.expr(words), lambda w: F.xxhash64(w)), lambda h: in_band(h, bits))
+        terms = F.array(F.sort_array(F.array_distinct(banded)))
+        return df.withColumn("_terms_in", terms).withColumn(name, F.expr(whole)).drop("_terms_in")
 
-        def subset(r: int, deeper: int) -> Column:
-            mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), level + deeper) - 1
-            own = F.filter(terms, lambda h: F.shiftrightunsigned(h, CLASS_BITS + 3 * r).bitwiseAND(mask) == 0)
-            return F.when(F.size(own) > 0, F.lower(F.hex(F.xxhash64(own)))).otherwise("-")
+    return add
 
-        parts = [subset(r, deeper) for deeper in (0, 1) for r in range(SUBSETS)]
-        return F.when(F.size(terms) > 0, F.concat_ws(".", level.cast("string"), *parts)).otherwise("")
 
-    # One-element arrays name a value, so that it is computed once for all that use it.
-    banded = F.element_at(F.transform(F.array(kept), signed), 1)
-    return F.when(banded != "", banded).otherwise(F.concat(F.lit("-1."), F.lower(F.hex(F.xxhash64(F.sort_array(F.array_distinct(hashes)))))))
+def in_band(h: Column, bits: Column) -> Column:
+    return F.getbit(F.element_at(bits, (F.shiftright(term_class(h), 6) + 1).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -136,10 +143,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     bits = long_array(lexicon(rows))
-    joined = with_next(rows.withColumn("print", fingerprint(F.col("text"), bits)))
+    joined = with_next(fingerprint("text", bits, "print")(rows))
     n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = joined.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
-    edited = edited.withColumn("edited_print", fingerprint(F.col("edited"), bits))
+    edited = fingerprint("edited", bits, "edited_print")(edited)
     return edited.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
