@@ -89,25 +89,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int =
     return gbt.fit(np.array(rows["_stats"].tolist()), rows["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, trees: gbt.Trees) -> DataFrame:
-    """docs with `score`, the probability of label 1, for every row; an old column of that name goes."""
+def score(docs: DataFrame, trees: gbt.Trees, name: str = "score") -> DataFrame:
+    """docs with the probability of label 1 for every row; an old column of that name goes."""
     python_batches(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     text = docs.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
             x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.probability(x))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.probability(x))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(scored, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with the columns they had."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    return score(docs, train(docs, labels), "_score").where(F.col("_score") >= threshold).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
