@@ -27,6 +27,10 @@ from .common import checkpointed, numbered, python_batches, shuffle_partitions,
 from .components import connected_components
 
 FRONTIER, FEW = 2_000_000, 10_000
+#: Rows of each side of a block of pairs, and how many row numbers may be broadcast (16 bytes each).
+BLOCK, SEVERAL = 256, 200_000
+#: Texts are near copies if they share at least this part (numerator, denominator) of their shingles.
+SIMILAR = (4, 5)
 
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15)
@@ -42,45 +46,65 @@ def lane(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int, lanes: int = 1, seed: int = 42) -> list[int]:
-    """The fingerprint as signed 64-bit integers, one for each lane."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """A 64-bit hash of each run of `shingle` words; a shorter text is one shingle, no words are none."""
     import xxhash
 
     words = text.lower().split()  # bytes: lowers A-Z, splits at ASCII white space
     if not words:
-        return [0] * lanes
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        only = np.array([digest(b" ".join(words), seed)], np.uint64)
-        return [int(lane(only, k).view(np.int64)[0]) for k in range(lanes)]
+        return np.array([digest(b" ".join(words), seed)], np.uint64)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     stops = (ends[shingle - 1 :] - 1).tolist()
     starts = [0, *ends[:-shingle].tolist()]
-    counts, n = np.zeros((lanes, 64), np.int64), len(stops)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops))
+
+
+def folded(hashes: np.ndarray, lanes: int = 1) -> list[int]:
+    """The fingerprint of a text's shingle hashes, as signed 64-bit integers, one for each lane."""
+    if len(hashes) <= 1:
+        return [int(lane(hashes, k).view(np.int64)[0]) if len(hashes) else 0 for k in range(lanes)]
+    counts, n = np.zeros((lanes, 64), np.int64), len(hashes)
     for at in range(0, n, 65_536):
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65_536], stops[at : at + 65_536], strict=True)), np.uint64)
         for k in range(lanes):
-            bits = np.unpackbits(lane(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(lane(hashes[at : at + 65_536], k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[k] += bits.sum(axis=0, dtype=np.int64)
     bits = (2 * counts > n).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
+def fingerprint(text: bytes, shingle: int, lanes: int = 1, seed: int = 42) -> list[int]:
+    """The fingerprint as signed 64-bit integers, one for each lane."""
+    return folded(shingle_hashes(text, shingle, seed), lanes)
+
+
+def set_digest(hashes: np.ndarray) -> list[int]:
+    """128 bits of the set of a text's shingles, as two signed 64-bit integers."""
+    import xxhash
+
+    held = np.unique(hashes).tobytes()
+    return np.array([xxhash.xxh64_intdigest(held, k) for k in (1, 2)], np.uint64).view(np.int64).tolist()
+
+
 def columns_of(lanes: int) -> list[str]:
     return [f"f{k}" for k in range(lanes)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """(_row, doc_id, f0, ...) for every row of docs (_row, doc_id, text); a null text counts as empty
-    (fingerprint 0)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, digests: bool = False) -> DataFrame:
+    """(_row, doc_id, f0, ...) for every row of docs (_row, doc_id, text), with `digests` also s0 and s1 of
+    the set of shingles; a null text counts as empty (fingerprint 0)."""
     python_batches(docs.sparkSession)
-    names = ["_row", "doc_id", *columns_of(lanes)]
+    more = ["s0", "s1"] if digests else []
+    names = ["_row", "doc_id", *columns_of(lanes), *more]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64()) for n in names])
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle, lanes) for t in batch.column(2).to_pylist()], np.int64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(fps[:, k]) for k in range(lanes))], schema=schema)
+            found = (shingle_hashes(t, shingle) for t in batch.column(2).to_pylist())
+            fps = np.array([folded(h, lanes) + (set_digest(h) if digests else []) for h in found], np.int64).reshape(-1, lanes + len(more))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(fps[:, k]) for k in range(fps.shape[1]))], schema=schema)
 
     rows = docs.select("_row", F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(hashed, ", ".join(f"{n} long" for n in names))
@@ -247,18 +271,136 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int = 48, tables: int = 48) -> DataFrame:
+def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b members that share so many are near copies; two empty sets are."""
+    top, bottom = SIMILAR
+    return (top + bottom) * shared >= top * (a + b)
+
+
+def block_links(sets: list[np.ndarray], asks: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links by similarity between the sets that ask and all others, enough to join what they join; sets
+    of one label are joined before, and are not compared."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    held, sums = np.zeros(len(codes) + 1, bool), np.zeros(len(codes) + 1, np.int64)
+    label, links = label.copy(), []
+    for q in np.flatnonzero(asks).tolist():
+        own = codes[ends[q] - sizes[q] : ends[q]]
+        held[own] = True
+        np.cumsum(held[codes], out=sums[1:])
+        held[own] = False
+        near = similar(sums[ends] - sums[ends - sizes], sizes[q], sizes) & (label != label[q])
+        for x in np.flatnonzero(near).tolist():
+            if label[x] != label[q]:
+                links.append((q, x))
+                label[label == label[x]] = label[q]
+    return links
+
+
+def shingle_sets(rows: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """members (node, root, pivot) with the sorted hashes of the distinct shingles of the text of row
+    `node` of rows (_row, text)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("pivot", pa.int64()), ("shingles", pa.binary())])
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], schema=schema)
+
+    texts = rows.select(F.col("_row").alias("node"), text_or_empty().cast("binary").alias("text"))
+    found = texts.join(F.broadcast(members) if members.count() <= SEVERAL else members.hint("shuffle_hash"), "node")
+    python_batches(rows.sparkSession)
+    return checkpointed(found.select("node", "root", "pivot", "text").mapInArrow(hashed, "node long, root long, pivot long, shingles binary"))
+
+
+def verified_links(sets: DataFrame, block: int) -> DataFrame:
+    """(a, b): links among sets (node, root, pivot, shingles), enough of them that their components are
+    those of all pairs with one root whose similarity reaches SIMILAR.
+
+    First all sets of a root are compared with its pivot's: what is similar is joined by that, and needs
+    no comparison among itself.  The others are compared with all of their root, in blocks of about
+    `block` times `block` rows, so that a very large root is dealt to many tasks.
+    """
+    spark = sets.sparkSession
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("near", pa.bool_())])
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                near.append(bool(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.bool_())], schema=schema)
+
+    python_batches(spark, 64)
+    # Keyed by a struct, both sides are dealt anew for the join, so that a very large root can be split.
+    pivots = sets.where("node = pivot").select(F.struct("root").alias("key"), F.col("shingles").alias("other"))
+    others = sets.where("node <> pivot").withColumn("key", F.struct("root"))
+    near = checkpointed(others.join(pivots, "key").select("node", "shingles", "other").mapInArrow(compared, "node long, near boolean"))
+    near = checkpointed(sets.select("node", "root", "pivot").join(near, "node"))
+    stars = near.where("near").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+    left = near.groupBy("root").agg(F.count("*").alias("n"), F.sum((~F.col("near")).cast("long")).alias("n_asks")).where("n_asks > 0 and n > 1")
+    left = left.select(F.struct("root").alias("key"), F.ceil(F.col("n_asks") / block).cast("int").alias("high"), F.ceil(F.col("n") / block).cast("int").alias("wide"))
+    left = near.withColumn("key", F.struct("root")).join(left, "key").select("node", "near", "high", "wide")
+    left = checkpointed(sets.select("node", "root", "shingles").join(left, "node"))
+
+    def dealt(rows: DataFrame, asks: bool, own: str, other: str) -> DataFrame:
+        part, every = F.pmod(F.xxhash64("node"), F.col(own)), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.select("root", part.cast("int").alias("i" if asks else "j"), every.alias("j" if asks else "i"), F.lit(asks).alias("asks"), "node", "near", "shingles")
+
+    columns = ["root", "i", "j", "asks", "node", "near", "shingles"]
+    rows = dealt(left.where("not near"), True, "high", "wide").select(columns).unionByName(dealt(left, False, "wide", "high").select(columns))
+    rows = rows.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node", "asks")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            node, start = np.unique(np.array([h[4] for h in held], np.int64), return_index=True)
+            asks, near = np.zeros(len(node), bool), np.array([held[k][5] for k in start])
+            asks[np.searchsorted(node, [h[4] for h in held if h[3]])] = True
+            label = np.where(near, -1, np.arange(len(node)))
+            links = block_links([np.frombuffer(held[k][6], np.uint64) for k in start], asks, label)
+            return pa.RecordBatch.from_arrays([pa.array(node[[x[k] for x in links]] if links else node[:0]) for k in (0, 1)], schema=schema)
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[-1][:3]:
+                    yield flush(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield flush(held)
+
+    return checkpointed(stars.unionByName(rows.mapInArrow(searched, "a long, b long")))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int = 48, tables: int = 48, block: int = BLOCK) -> DataFrame:
     """The first row of each group of near copies, by doc_id (null ids last), with the columns it had.
 
-    A similarity of 0.8 on word shingles leaves about 15 % of a SimHash's bits different.  In 64 bits
-    that can't be told from chance among very many texts, so fingerprints are `lanes` times as wide:
+    Near copies have a Jaccard similarity of at least 0.8 on the sets of their word shingles (hashed to
+    64 bits), and groups are the components of such links.  Fingerprints only say which pairs may be
+    links.  A similarity of 0.8 on word shingles leaves about 15 % of a SimHash's bits different.  In 64
+    bits that can't be told from chance among very many texts, so fingerprints are `lanes` times as wide:
     in 256 bits, 48 are reached by 95 % of such copies and by unrelated texts at ten deviations from
     their mean.  Two rows meet in a shard if two of their bytes agree in one of `tables` pairs, which
     nine of ten copies at 0.8 do, and nearly all closer ones; in a shard the search is exact.
+
+    What fingerprints connect, equal ones too, is then compared by its shingles: a link of fingerprints
+    lies inside such a set, so none that is true is lost.
     """
-    rows = numbered(docs, "_row")
+    rows, names = numbered(docs, "_row"), columns_of(lanes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first")
-    distinct = fingerprints(rows, shingle, lanes).groupBy(*columns_of(lanes)).agg(first).withColumn("node", F.col("first._row"))
-    kept = rooted(checkpointed(distinct), byte_pairs(lanes, tables), lanes, radius, prune=False).groupBy("root").agg(F.min("first").alias("first"))
+    texts = checkpointed(fingerprints(rows, shingle, lanes, digests=True).groupBy(*names, "s0", "s1").agg(first).select(*names, "first", F.col("first._row").alias("node")))
+    distinct = checkpointed(texts.groupBy(*names).agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    classes = rooted(distinct, byte_pairs(lanes, tables), lanes, radius, prune=False)
+    wide = classes.groupBy("root").agg(F.sum("n").alias("n"), F.min("node").alias("pivot")).where("n > 1").select(F.struct("root").alias("key"), "pivot")
+    wide = classes.withColumn("key", F.struct("root")).join(wide, "key").select(F.struct(*names).alias("key"), "root", "pivot")
+    members = checkpointed(texts.select(F.struct(*names).alias("key"), "node").join(wide, "key").select("node", "root", "pivot"))
+    links = verified_links(shingle_sets(rows, members, shingle), block)
+    kept = texts.select("node", "first").join(connected_components(links), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first._row").alias("_row"))
     return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
