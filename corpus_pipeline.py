@@ -23,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated windows of lines go, and with them documents of which nothing is
+    """Later occurrences of repeated windows of lines (two lines too, of 50 words together) go, and with them documents of which nothing is
     left; n_chars follows the text.  Texts that were null or blank before stay as they are."""
-    out = linededup.dedup_lines(docs).withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = linededup.dedup_lines(docs, pairs=True).withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.where((F.col("_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*docs.columns)
 
 

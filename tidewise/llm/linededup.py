@@ -4,7 +4,9 @@ Every three consecutive non-blank lines of a text are hashed (128 bits); windows
 once are found globally by a partial aggregate; every occurrence but the first, by (doc_id, place),
 marks its three lines, and marks of overlapping windows merge.  What is marked goes.  A single line
 of at least `long_words` words counts as a window of its own, so that a long passage which fills one
-line is found whatever stands around it.
+line is found whatever stands around it.  With `pairs`, so do two consecutive lines of that many words
+together; the report is without them, as its SQL is.  A passage that starts or ends within a line is
+beyond line windows.
 
 Texts are not shuffled with the windows: the exchanges carry hashes, row numbers and places.  Texts
 cross the network once, to meet their marks, and only where there are any is a text rebuilt.
@@ -22,7 +24,7 @@ WINDOW = 3
 LINES = "filter(transform(split(_text, '\\n', -1), (x, i) -> struct(i as at, trim(both ' \\t\\r' from x) as line)), x -> x.line <> '')"
 
 
-def windows(rows: DataFrame, long_words: int) -> DataFrame:
+def windows(rows: DataFrame, long_words: int, pairs: bool = False) -> DataFrame:
     """(row, doc_id, h1, h2, places) of every window of rows (row, doc_id, _text)."""
     lines = rows.select("row", "doc_id", F.expr(LINES).alias("lines"))
 
@@ -33,13 +35,16 @@ def windows(rows: DataFrame, long_words: int) -> DataFrame:
         struct(concat_ws('\\n', lines[i].line, lines[i + 1].line, lines[i + 2].line) as body, array(lines[i].at, lines[i + 1].at, lines[i + 2].at) as places))
         else array() end""")
     single = F.expr(f"transform(filter(lines, x -> length(x.line) >= {2 * long_words - 1} and size(split(x.line, '[ \\t]+')) >= {long_words}), x -> struct(x.line as body, array(x.at) as places))")
-    found = lines.select("row", "doc_id", F.explode(F.concat(triple, single)).alias("w"))
+    double = F.expr(f"""case when size(lines) >= 2 then transform(filter(sequence(0, size(lines) - 2), i -> length(lines[i].line) + length(lines[i + 1].line) >= {2 * long_words - 2}
+        and size(split(lines[i].line, '[ \\t]+')) + size(split(lines[i + 1].line, '[ \\t]+')) >= {long_words}),
+        i -> struct(concat_ws('\\n', lines[i].line, lines[i + 1].line) as body, array(lines[i].at, lines[i + 1].at) as places)) else array() end""")
+    found = lines.select("row", "doc_id", F.explode(F.concat(triple, *([double] if pairs else []), single)).alias("w"))
     return found.select("row", "doc_id", *hashes(F.col("w.body")), F.col("w.places").alias("places"))
 
 
-def marked(rows: DataFrame, long_words: int) -> DataFrame:
+def marked(rows: DataFrame, long_words: int, pairs: bool = False) -> DataFrame:
     """(row, places): the sorted places of the lines of each row that later occurrences cover."""
-    found = windows(rows, long_words)
+    found = windows(rows, long_words, pairs)
     key = F.struct("doc_id", "row", F.col("places")[0].alias("place"), F.size("places").alias("n"))
     found = found.select("row", F.struct("h1", "h2").alias("window"), "places", key.alias("key"))
     repeated = found.groupBy(F.col("window.h1"), F.col("window.h2")).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -49,7 +54,7 @@ def marked(rows: DataFrame, long_words: int) -> DataFrame:
     return later.select("row", F.explode("places").alias("place")).groupBy("row").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame, long_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int = 50, pairs: bool = False) -> DataFrame:
     """docs, every column kept, with the marked lines taken out of text, and _lines and _removed, the
     numbers of lines it had and lost.
 
@@ -60,7 +65,7 @@ def dedup_lines(docs: DataFrame, long_words: int = 50) -> DataFrame:
     """
     rows = numbered(docs, "_row")
     base = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    marks = checkpointed(marked(base, long_words).withColumnRenamed("row", "_row").withColumnRenamed("places", "_places"))
+    marks = checkpointed(marked(base, long_words, pairs).withColumnRenamed("row", "_row").withColumnRenamed("places", "_places"))
     joined = rows.join(marks.hint("shuffle_hash"), "_row", "left")
     lines = F.split("text", "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))
