@@ -59,6 +59,34 @@ def test_differencing_keeps_every_item_and_balances(lengths, m):
     assert max(sums) - min(sums) <= max(lengths)
 
 
+def plain_differencing(lengths, m):
+    """Sums of the windows, by whole vectors of m sums; the earlier of equal spreads first."""
+    parts = [(sorted([n, *[0] * (m - 1)], reverse=True), t) for t, n in enumerate(sorted(lengths, reverse=True))]
+    tick = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[0][-1] - p[0][0], p[1]))
+        (a, _), (b, _), *parts = parts
+        parts.append((sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), tick))
+        tick += 1
+    return parts[0][0] if parts else [0] * m
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40) | st.integers(1, 2048), max_size=40), st.integers(1, 9))
+def test_differencing_is_karmarkar_karps(lengths, m):
+    assert sorted((sum(lengths[i] for i in w) for w in balanced(lengths, m)), reverse=True) == plain_differencing(lengths, m)
+    assert sorted(sum(([100, 10, 9, 8][i] for i in w), 0) for w in balanced([100, 10, 9, 8], 2)) == [27, 100]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 2048), max_size=60))
+def test_the_count_rises_until_no_window_exceeds_the_capacity(lengths):
+    found = windows_of(lengths, 2048)
+    assert sorted(i for w in found for i in w) == list(range(len(lengths))) and all(sum(lengths[i] for i in w) <= 2048 for w in found)
+    least = -(-sum(lengths) // 2048)
+    assert all(max(plain_differencing(lengths, m)) > 2048 for m in range(max(1, least), len(found)))
+
+
 def test_windows_are_as_few_as_the_sum_needs():
     assert windows_of([], 10) == [] and len(windows_of([5, 5, 5, 5], 10)) == 2
 

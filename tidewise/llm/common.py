@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def python_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the Arrow batches that Python workers get: `rows` texts of 100 kB are 50 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, so that a Python worker unpacks a few texts at a
+    time.  The session's spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set) bounds batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -25,12 +29,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder; only where none is named (tests) a folder of its own."""
+    """Uses the shared folder that spark.checkpoint.dir names.  Where none is named, a session in one
+    process (as in tests) gets a folder of its own; a cluster raises."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewise-checkpoint-"))
+    if not named and (sc.master == "local" or sc.master.startswith("local[")):
+        named = tempfile.mkdtemp(prefix="tidewise-checkpoint-")
+    if not named:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -39,12 +48,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def repeats_itself(plan: Any) -> bool:
+    """Whether a logical plan only reads files or checkpoints and maps their rows, so that rows come in the
+    same order and partitions however often, and for whatever columns, it runs."""
+    kind = plan.getClass().getSimpleName()
+    if kind in ("LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation"):
+        return True
+    if kind == "LogicalRDD":
+        return bool(plan.rdd().isCheckpointed())
+    children = plan.children()
+    return kind in ("Project", "Filter", "SubqueryAlias", "Generate", "Union") and all(repeats_itself(children.apply(i)) for i in range(children.size()))
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a number for each row that stays the same however often and for whatever columns the
-    plan runs.  Reading and filtering files gives that; a plan with an exchange, where the order of rows
-    may depend on the columns asked for, is checkpointed first."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return (checkpointed(docs) if "Exchange" in plan else docs).withColumn(name, F.monotonically_increasing_id())
+    plan runs: what does more than read and map files is checkpointed first."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    return (docs if plan.deterministic() and repeats_itself(plan) else checkpointed(docs)).withColumn(name, F.monotonically_increasing_id())
 
 
 def text_or_empty(name: str = "text") -> Any:

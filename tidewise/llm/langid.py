@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, python_batches, text_or_empty, worker_cache
+from .common import fold, sliced, text_or_empty, worker_cache
 
 DIMS, GRAM, BLOCK = 1024, 3, 128
 
@@ -99,9 +99,8 @@ def prototypes(docs: DataFrame, sample: int = 20_000, seed: int = 8) -> tuple[li
     """The languages and their unit prototypes, from at most about `sample` taught rows.
 
     Taught are rows with a language and text whose crc32(doc_id) mod 3 is not 1; the sample is cut by
-    a hash of id and text, a document counts with its share of n-grams, and sums come per partition.
+    a hash of id and length, a document counts with its share of n-grams, and sums come per partition.
     """
-    python_batches(docs.sparkSession)
     taught = docs.where("lang is not null and text is not null").where(fold(3) != 1)
     n = taught.select("lang").count()
     if n > sample:
@@ -111,7 +110,7 @@ def prototypes(docs: DataFrame, sample: int = 20_000, seed: int = 8) -> tuple[li
         encoder = worker_cache("langid", DIMS, Encoder)
         schema = pa.schema([("lang", pa.string()), ("dim", pa.int32()), ("value", pa.float64())])
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
             for at in range(0, len(texts), BLOCK):
                 vectors, grams = encoder.bundles(texts[at : at + BLOCK])
@@ -143,7 +142,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache("langid", DIMS, Encoder)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names: list[str] = []
             scores: list[float] = []

@@ -1,12 +1,11 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
 A text's ids and its closing id are cut at multiples of the window; full pieces are windows of their
-own.  The remainders are taken in groups of about `group_size` as a task reads them, and each group
-is divided among m windows, a little fewer than could hold it (`crowding`): every remainder starts as a partition of
-m windows with one item; the two partitions with the largest spread (fullest minus emptiest) are
-merged, fullest window onto emptiest, until one is left.  Where a window then exceeds the capacity,
-its last piece is cut there, and what is over waits for the next group, or in the end for windows of
-its own: so the count rises with what exceeds the capacity, and windows stay nearly full.
+own.  A remainder longer than `longest` is cut into equal pieces, and pieces are taken in groups of
+`group_size` as a task reads them (the last one has up to twice as many).  Every piece starts as a partition of m windows with one item; the
+two partitions with the largest spread (fullest minus emptiest) are merged, fullest window onto
+emptiest, until one is left.  m starts with what the sum needs, and rises while any window exceeds the
+capacity; nothing is cut after that.
 
 Packing needs no shuffle: groups are formed inside the task that tokenised the texts, a retried task
 reads the same split and gives the same windows, and nothing a task holds grows beyond one group.
@@ -16,8 +15,8 @@ from __future__ import annotations
 
 import heapq
 import json
-import math
 import zlib
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,43 +24,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, text_or_empty, worker_cache
+from .common import sliced, text_or_empty, worker_cache
+from .tokens import byte_alphabet
 
 CACHE_LIMIT = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def balanced(lengths: list[int], windows: int) -> list[list[int]]:
-    """Karmarkar-Karp differencing of the items into `windows` lists of item numbers."""
-    if windows == 1:
-        return [list(range(len(lengths)))]
+    """Karmarkar-Karp differencing of the items into `windows` lists of item numbers, some of them empty
+    where there are fewer items.
+
+    One heap holds all partitions by spread, single items first; a partition is the sorted list of its
+    windows that are not empty, (sum, node), and a node is an item or a pair of nodes.
+    """
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    heap: list[tuple[int, int, np.ndarray, list[list[int]]]] = []
-    # Items are first laid out a full row at a time: a row of m items is what m merges of the
-    # largest singletons give, as each lands in a window that is still empty.
-    for tick, at in enumerate(range(0, len(order), windows)):
-        row = order[at : at + windows]
-        sums = np.zeros(windows, np.int64)
-        sums[: len(row)] = [lengths[i] for i in row]
-        members = [[i] for i in row] + [[] for _ in range(windows - len(row))]
-        heap.append((-int(sums[0] - sums[-1]), tick, sums, members))
-    heapq.heapify(heap)
-    tick = len(heap)
-    while len(heap) > 1:
-        _, _, a, of_a = heapq.heappop(heap)  # sums fall from first to last
-        _, _, b, of_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        by = np.argsort(-sums, kind="stable")
-        members = [of_a[i] + of_b[windows - 1 - i] for i in by]
-        sums = sums[by]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), tick, sums, members))
-        tick += 1
-    return heap[0][3]
-
-
-def windows_of(lengths: list[int], capacity: int, crowding: float = 1.0) -> list[list[int]]:
-    """Item numbers by near-equal window: as few windows as the sum needs, or fewer by `crowding`."""
-    return [w for w in balanced(lengths, max(1, math.ceil(sum(lengths) / (capacity * crowding)))) if w] if lengths else []
+    heap = [(-lengths[i], tick, [(lengths[i], i)]) for tick, i in enumerate(order)]
+    pairs: list[tuple[int, int]] = []
+    for tick in range(len(heap), 2 * len(heap) - 1):
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        if len(a) < len(b):
+            a, b = b, a
+        both = max(0, len(a) + len(b) - windows)  # windows of a that get one of b's: the emptiest, fullest first
+        low, a = a[:both], a[both:]
+        for x in b[: len(b) - both]:
+            insort(a, x)
+        for (s, i), (t, j) in zip(low, reversed(b), strict=False):
+            insort(a, (s + t, len(lengths) + len(pairs)))
+            pairs.append((i, j))
+        heapq.heappush(heap, ((a[0][0] if len(a) == windows else 0) - a[-1][0], tick, a))
+
+    def items(node: int) -> list[int]:
+        out, open_nodes = [], [node]
+        while open_nodes:
+            n = open_nodes.pop()
+            if n < len(lengths):
+                out.append(n)
+            else:
+                open_nodes += pairs[n - len(lengths)]
+        return out
+
+    found = [items(node) for _, node in heap[0][2]] if heap else []
+    return found + [[] for _ in range(windows - len(found))]
+
+
+def windows_of(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Item numbers by near-equal window, none over capacity: from as few windows as the sum needs, one
+    more while a window exceeds it."""
+    m = -(-sum(lengths) // capacity)
+    while True:
+        found = balanced(lengths, m)
+        if all(sum(lengths[i] for i in w) <= capacity for w in found):
+            return [w for w in found if w]
+        m += 1
 
 
 class WordBpe:
@@ -80,8 +96,6 @@ class WordBpe:
         import tiktoken
         from tokenizers import Tokenizer
 
-        from .tokens import byte_alphabet
-
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -151,15 +165,17 @@ class WordIds(dict):
         return ids
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, group_size: int = 1024, crowding: float = 1.06) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, group_size: int = 1024, longest: int | None = None) -> DataFrame:
     """Packs all docs into sequences of at most `capacity` ids; one row per piece.
 
-    A null text counts as empty, and every document ends with `end_id`, so an empty one is a piece of
-    length 1.  Null ids and repeated rows are packed like any other row; an empty table gives no
-    pieces; columns other than doc_id and text are ignored.  sequence_id is the task's number times
-    2**40 plus a count, so ids are unique without any exchange.
+    `longest` (default: a third of the capacity) is the longest remainder that stays in one piece:
+    shorter items are easier to level, for more pieces.  A null text counts as empty, and
+    every document ends with `end_id`, so an empty one is a piece of length 1.  Null ids and repeated
+    rows are packed like any other row; an empty table gives no pieces; columns other than doc_id and
+    text are ignored.  sequence_id is the task's number times 2**40 plus a count, so ids are unique
+    without any exchange.
     """
-    python_batches(docs.sparkSession)
+    longest = longest or max(1, capacity // 3)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -170,42 +186,40 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, grou
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
         rest: list[tuple] = []  # doc_id, start, ids' bytes, tokens of the document
 
-        def grouped(last: bool = False) -> list[tuple]:
+        def grouped(group: list[tuple]) -> list[tuple]:
             nonlocal used
-            out, over = [], []
-            for window in windows_of([len(r[2]) // 4 for r in rest], capacity, 1.0 if last else crowding):
+            out = []
+            for window in windows_of([len(r[2]) // 4 for r in group], capacity):
                 at = 0
-                for doc_id, start, ids, n in sorted((rest[i] for i in window), key=lambda r: -len(r[2])):
-                    ids, left = ids[: 4 * (capacity - at)], ids[4 * (capacity - at) :]
-                    if ids:
-                        out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, task + used, at))
-                    if left:
-                        over.append((doc_id, start + len(ids) // 4, left, n))
+                for doc_id, start, ids, n in sorted((group[i] for i in window), key=lambda r: -len(r[2])):
+                    out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, task + used, at))
                     at += len(ids) // 4
                 used += 1
-            rest[:] = over
             return out
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = bpe.text(text) + closing
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    if len(piece) == 4 * capacity:
-                        out.append((doc_id, start, capacity, zlib.crc32(piece), n, task + used, 0))
+                    size = min(capacity, n - start)
+                    if size == capacity:
+                        out.append((doc_id, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), n, task + used, 0))
                         used += 1
-                    else:
-                        rest.append((doc_id, start, piece, n))
-                if len(rest) >= group_size:
-                    out += grouped()
+                        continue
+                    cuts = -(-size // longest)
+                    edges = [start + size * i // cuts for i in range(cuts + 1)]
+                    rest += [(doc_id, a, ids[4 * a : 4 * b], n) for a, b in zip(edges, edges[1:], strict=False)]
+                if len(rest) >= 2 * group_size:  # so that the last group is no small one
+                    out += grouped(rest[:group_size])
+                    del rest[:group_size]
             if out:
                 yield batch_of(out)
-        while rest:
-            yield batch_of(grouped(last=True))
+        if rest:
+            yield batch_of(grouped(rest))
 
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(packed, SCHEMA)

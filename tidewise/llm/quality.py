@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import fold, python_batches, text_or_empty
+from .common import fold, sliced, text_or_empty
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "word_length_dev", "letters", "upper", "digits", "space", "marks", "shouts", "pipes",
@@ -58,12 +58,11 @@ def statistics(text: str) -> list[float]:
 
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and an array of the text's statistics."""
-    python_batches(docs.sparkSession)
     kept = docs.select(*keep, text_or_empty().alias("_text"))
     schema = kept.drop("_text").schema
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [statistics(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "_stats"])
 
@@ -91,13 +90,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int =
 
 def score(docs: DataFrame, trees: gbt.Trees, name: str = "score") -> DataFrame:
     """docs with the probability of label 1 for every row; an old column of that name goes."""
-    python_batches(docs.sparkSession)
     docs = docs.drop(name)
     text = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text).to_pylist()
             x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.probability(x))], names=[*batch.schema.names, name])

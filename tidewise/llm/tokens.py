@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches, text_or_empty, worker_cache
+from .common import sliced, text_or_empty, worker_cache
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_LIMIT = 600_000
@@ -125,7 +125,7 @@ def frequent_words(docs: DataFrame, table_size: int) -> list[str]:
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 counts.update(text.split(" "))
                 if len(counts) > 16 * table_size:
@@ -160,7 +160,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, table_size: int
     columns other than doc_id and text are ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    python_batches(spark)
     words = frequent_words(docs, table_size)
     local = ByteBpe(path, {})
     table: dict[str, int] = {}
@@ -176,7 +175,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, table_size: int
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_cache("byte_bpe", version, lambda: ByteBpe(path, shared.value))
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             tokens = [bpe.count(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens]}, schema=schema)
