@@ -1,7 +1,7 @@
 """Exact top-k inner products with a bit-sliced index.
 
-Vectors are dealt by a hash of their row into blocks of bounded size, and the stated queries into
-blocks of their own; a task holds one vector block and one query block.  In a vector block, the
+Vectors are dealt once, by a hash of their row, into blocks of bounded size; the stated queries go to
+every block, where they follow the vectors and stream past the block's index.  In a block, the
 leading bits of every component (quantised: the low `coarse` bits are left off) are bit slices, one
 bitmap over the block's rows for each component and bit.  A query adds the slices, shifted by the set
 bits of its own components, with bitmap arithmetic: carry-save adders first, then one ripple.  That
@@ -12,6 +12,8 @@ rows, and their exact integer scores decide.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -103,20 +105,49 @@ class BitSlicedIndex:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def block_top(vec_id: np.ndarray, rows: np.ndarray, own: np.ndarray, query_id: np.ndarray, queries: np.ndarray, query_own: np.ndarray, k: int, coarse: int) -> list[tuple[int, int, int]]:
-    """(query's own row, row number, score) of the k best rows of a block for each query."""
-    index = BitSlicedIndex(rows, coarse)
-    at = {int(x): i for i, x in enumerate(own)}
-    out = []
-    for q, me in zip(queries, query_own, strict=True):
-        near = index.top(q, k, at.get(int(me), -1))
-        scores = rows[near] @ q
-        best = np.lexsort((vec_id[near], -scores))[:k]
-        out += [(int(me), int(near[i]), int(scores[i])) for i in best]
-    return out
-
-
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 16_384, query_block: int = 512, least_blocks: int = 10, coarse: int = 4) -> DataFrame:
+def quantised(column: pa.ListArray, dims: int = 0) -> np.ndarray:
+    """floor(1024 * x) of the components (rows x dims), padded with zeros; dims: 0 for as many as the
+    longest row has, else as many as the result has."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * 1024).astype(np.int64)
+    width = int(sizes.max(initial=0))
+    out = np.zeros((len(sizes), max(width, dims)), np.int64)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat
+    return out[:, : dims or width]
+
+
+class Block:
+    """A block of vectors: takes parts until the first query, then answers queries."""
+
+    def __init__(self, k: int, coarse: int):
+        self.k, self.coarse, self.parts, self.index = k, coarse, [], None
+
+    def add(self, vec_id: np.ndarray, row: np.ndarray, vectors: pa.ListArray) -> None:
+        self.parts.append((vec_id, row, quantised(vectors)))
+
+    def best(self, query: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """vec_id and score of the k best rows, the query's own left out."""
+        near = self.index.top(query, self.k, self.at.get(row, -1))
+        scores = self.rows[near] @ query
+        first = np.lexsort((self.vec_id[near], -scores))[: self.k]
+        return self.vec_id[near[first]], scores[first]
+
+    def answers(self, query_id: np.ndarray, row: np.ndarray, queries: pa.ListArray) -> pa.RecordBatch | None:
+        if self.index is None:
+            if not self.parts:
+                return None
+            dims = max(p[2].shape[1] for p in self.parts)
+            self.rows = np.concatenate([np.pad(p[2], ((0, 0), (0, dims - p[2].shape[1]))) for p in self.parts])
+            self.vec_id = np.concatenate([p[0] for p in self.parts])
+            self.at = {int(r): i for i, r in enumerate(np.concatenate([p[1] for p in self.parts]))}
+            self.index, self.parts = BitSlicedIndex(self.rows, self.coarse), []
+        asked = quantised(queries, self.rows.shape[1]) if self.rows.shape[1] else np.zeros((len(row), 0), np.int64)
+        found = [self.best(q, int(r)) for q, r in zip(asked, row, strict=True)]
+        sizes = [len(v) for v, _ in found]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(row, sizes), np.repeat(query_id, sizes), np.concatenate([v for v, _ in found]), np.concatenate([s for _, s in found]))], names=["query_row", "query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 65_536, query_block: int = 512, least_blocks: int = 10, coarse: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each stated query.
 
     Components become floor(1024 * x).  Queries are the rows whose vec_id is divisible by `every`,
@@ -124,47 +155,43 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 16_384
     smaller vec_id.  Vectors that are null, or hold a null or non-finite component, take no part; nor
     do rows without a vec_id.  Shorter vectors count as padded with zeros.  Rows that repeat a vec_id are candidates
     and queries of their own.  Scores must fit 64 bits.  An empty table gives an empty result.
+
+    A block has at most about `block` rows and 2**22 components; `query_block` queries are unpacked at a
+    time.  The exchange carries each vector once and each query once for each block.
     """
     spark = vectors.sparkSession
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = numbered(vectors.select("vec_id", "embedding"), "row")
-    rows = rows.where(x.isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(False)))
-    rows = rows.select(F.col("vec_id").cast("long"), "row", F.transform(x, lambda v: F.floor(v.cast("double") * 1024)).cast("array<long>").alias("q"))
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n, dims, m = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0)), F.coalesce(F.sum((F.col("vec_id") % every == 0).cast("long")), F.lit(0))).first()
-    blocks, query_blocks = max(least_blocks, -(-n // block)), max(1, -(-m // query_block))
-
-    def dealt(name: str, count: int) -> F.Column:
-        return F.pmod(F.xxhash64("row"), F.lit(count)).cast("int").alias(name)
-
-    def to_all(name: str, count: int) -> F.Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-
-    left = rows.select(dealt("vb", blocks), to_all("qb", query_blocks), "vec_id", "row", "q")
-    right = asked.select(to_all("vb", blocks), dealt("qb", query_blocks), "vec_id", "row", "q")
-    schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        column = column.combine_chunks()
-        sizes = np.diff(column.offsets.to_numpy())
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        if len(sizes) and (sizes == dims).all():
-            return flat.reshape(-1, dims)
-        out = np.zeros((len(sizes), dims), np.int64)
-        out[np.arange(dims)[None, :] < sizes[:, None]] = flat
-        return out
-
-    def searched(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        vec_id, query_id = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        name = dict(zip(b["row"].to_pylist(), query_id.tolist(), strict=True))
-        found = block_top(vec_id, matrix(a["q"]), a["row"].to_numpy(), query_id, matrix(b["q"]), b["row"].to_numpy(), k, coarse)
-        return pa.Table.from_pydict({"query_row": [f[0] for f in found], "query_id": [name[f[0]] for f in found], "vec_id": [int(vec_id[f[1]]) for f in found], "score": [f[2] for f in found]}, schema=schema)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    parts = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(searched, "query_row long, query_id long, vec_id long, score long")
+    rows = rows.where(x.isNotNull() & F.col("vec_id").isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col("vec_id").cast("long"), "row", "embedding")
+    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = max(least_blocks, -(-n // max(1, min(block, (1 << 22) // max(1, dims)))))
+
+    own, every_block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    columns = ["vec_id", "row", "embedding"]
+    held = rows.select(own.alias("block"), F.lit(False).alias("asks"), *columns)
+    asked = rows.where(F.col("vec_id") % every == 0).select(every_block.alias("block"), F.lit(True).alias("asks"), *columns)
+    dealt = held.unionByName(asked).repartition(max(blocks, shuffle_partitions(spark)), "block").sortWithinPartitions("block", "asks")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, now = -1, Block(k, coarse)
+        for batch in batches:
+            part, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                if lo == hi:
+                    continue
+                if part[lo] != number:
+                    number, now = part[lo], Block(k, coarse)
+                for at in range(lo, hi, query_block if asks[lo] else hi):
+                    run = batch.slice(at, min(query_block, hi - at) if asks[lo] else hi - lo)
+                    ids, own_row, values = run.column(2).to_numpy(), run.column(3).to_numpy(), pa.array(run.column(4))
+                    if not asks[lo]:
+                        now.add(ids, own_row, values)
+                    elif (out := now.answers(ids, own_row, values)) is not None:
+                        yield out
+
+    parts = dealt.mapInArrow(searched, "query_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
