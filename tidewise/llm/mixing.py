@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import numbered, shuffle_partitions
 
 SMALL = 10_000
 PART = 64.0  # a mean above this is drawn as a sum of draws with means up to it
@@ -53,6 +53,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     Rows with the same id and source draw the same count; null ids draw as the id "null", null
     sources are a source of their own.  An empty table gives an empty result.
     """
+    docs = numbered(docs, "_row")
     by = rates(docs, weights, temperature, total).withColumnRenamed("source", "_source")
     by = by.withColumnRenamed("rate", "_rate")
     if by.count() <= SMALL:  # a source's name and a number each
@@ -62,8 +63,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     one = drawn.withColumn("_us", F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: uniform(seed, i)))
     counted = one.withColumn("_n", F.expr(f"aggregate(_us, 0, (s, u) -> s + {poisson_count('u', '(_rate / _draws)')})"))
     copies = counted.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_rate", "_draws", "_us", "_n")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_copy"), F.monotonically_increasing_id())  # also spreads rows that repeat
-    return copies.withColumn("_order", key).repartition(shuffle_partitions(docs.sparkSession), "_order").sortWithinPartitions("_order").drop("_order")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_copy"), F.col("_row"))  # also spreads rows that repeat
+    return copies.withColumn("_order", key).repartition(shuffle_partitions(docs.sparkSession), "_order").sortWithinPartitions("_order").drop("_order", "_row")
 
 
 def report(docs: DataFrame) -> DataFrame:
