@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tidewise.llm import quality
 from tidewise.llm.mixing import rates
-from tests_llm_brute import brute_count, brute_lines, brute_simhash, good_text, junk_text
+from test_near_copies import first_of_components
+from tests_llm_brute import brute_count, brute_lines, good_text, junk_text
 
 
 def corpus(spark, folder):
@@ -51,11 +52,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
             assert {r.doc_id: r.text for r in rows} == want
             assert all(r.n_chars == len(r.text or "") for r in rows)
         elif name == "near_dedup":
-            classes = brute_simhash([t for _, t, _, _ in before], 5, 4)
-            first = {}
-            for (i, _, _, _), c in zip(before, classes, strict=True):
-                first[c] = min(i, first.get(c, i))
-            assert kept == sorted(first.values())
+            assert kept == sorted(first_of_components([(i, t or "") for i, t, _, _ in before]))
         elif name == "mixing":
             mean = {r.source: r.rate for r in rates(docs, None, 0.7, None).collect()}
             assert kept == sorted(i for i, _, s, _ in before for _ in range(brute_count(i, mean[s])))

@@ -3,8 +3,6 @@
 import hashlib
 import math
 
-import xxhash
-
 SYLLABLES = ["ka", "lo", "mi", "ru", "te", "shan", "vor", "bel", "nu", "pri"]
 
 
@@ -42,24 +40,3 @@ def brute_lines(rows):
         out[i] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
-
-def brute_simhash(texts, shingle, radius):
-    fps = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        s = [b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
-        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    up = list(range(len(fps)))
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= radius:
-                a, b = root(i), root(j)
-                up[max(a, b)] = min(a, b)
-    return [root(i) for i in range(len(fps))]

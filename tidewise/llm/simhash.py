@@ -1,20 +1,24 @@
 """SimHash near-duplicates with BK-trees over shards of the fingerprints.
 
-Fingerprints of 64 bits that differ in at most r agree on at least two of r + 2 blocks of bits, so
-each distinct one goes to one shard per pair of blocks, keyed by the bits of that pair; no link is
-lost.  A task builds a BK-tree for every shard it holds (children keyed by their integer Hamming
-distance to the parent) and looks each fingerprint up in it, following only edges within the radius
-of the distance just measured.  Trees of all of a task's shards are built and searched level by
-level as numpy arrays.
-
-A shard's tree stays where its fingerprints were shuffled to: fingerprints of all documents are
-never gathered on the driver for a broadcast.  Shards over `hot` rows are searched by several tasks:
-each holds the whole tree, and looks up its own share of the fingerprints.  A shard gives links of
-its members to one root per connected set, never all pairs.
+Fingerprints of 64 bits that differ in at most r agree on at least g of r + g blocks of bits, so each
+distinct one goes to one shard per choice of g blocks, keyed by the bits of those; no link is lost.  g
+grows with the number of fingerprints (2, 3 or 4: keys of 21, 27 or 32 bits), so that shards stay small.
+A task builds a BK-tree for every shard it holds (children keyed by their integer Hamming distance to
+the parent) and looks each fingerprint up in it, following only edges within the radius of the
+distance just measured.  Trees of all of a task's shards are built and searched level by level as
+numpy arrays.
+
+A shard's tree stays where its fingerprints were shuffled to.  A row takes 32 bytes in each of 15
+trees, so trees of a million fingerprints are 480 MB: they grow with the corpus, and are not broadcast.
+A shard over `hot` rows is cut into slices, and each pair of slices is a task's work: one slice is the
+tree, the other asks; a task never holds more than two slices.  A shard gives links of its members to
+one root per connected set, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, numbered, python_batches, shuffle_partitions, text_or_empty
+from .common import checkpointed, numbered, shuffle_partitions, sliced, text_or_empty
 from .components import connected_components
 
-FRONTIER, FEW = 2_000_000, 10_000
+FRONTIER, FEW = 1_000_000, 10_000
+#: Rows of a shard that are searched in one piece, and to which the keys' length holds the usual shard.
+HOT, USUAL = 8192, 2048
 #: Rows of each side of a block of pairs, and how many row numbers may be broadcast (16 bytes each).
 BLOCK, SEVERAL = 256, 200_000
 #: Texts are near copies if they share at least this part (numerator, denominator) of their shingles.
@@ -80,11 +86,11 @@ def fingerprint(text: bytes, shingle: int, lanes: int = 1, seed: int = 42) -> li
     return folded(shingle_hashes(text, shingle, seed), lanes)
 
 
-def set_digest(hashes: np.ndarray) -> list[int]:
-    """128 bits of the set of a text's shingles, as two signed 64-bit integers."""
+def set_digest(members: np.ndarray) -> list[int]:
+    """128 bits of a set (sorted hashes), as two signed 64-bit integers."""
     import xxhash
 
-    held = np.unique(hashes).tobytes()
+    held = members.tobytes()
     return np.array([xxhash.xxh64_intdigest(held, k) for k in (1, 2)], np.uint64).view(np.int64).tolist()
 
 
@@ -92,42 +98,68 @@ def columns_of(lanes: int) -> list[str]:
     return [f"f{k}" for k in range(lanes)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, digests: bool = False) -> DataFrame:
-    """(_row, doc_id, f0, ...) for every row of docs (_row, doc_id, text), with `digests` also s0 and s1 of
-    the set of shingles; a null text counts as empty (fingerprint 0)."""
-    python_batches(docs.sparkSession)
-    more = ["s0", "s1"] if digests else []
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, sets: bool = False) -> DataFrame:
+    """(_row, doc_id, f0, ...) for every row of docs (_row, doc_id, text); a null text counts as empty
+    (fingerprint 0).  With `sets`, a repeated shingle counts once, and s0 and s1 identify the set."""
+    more = ["s0", "s1"] if sets else []
     names = ["_row", "doc_id", *columns_of(lanes), *more]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64()) for n in names])
-        for batch in batches:
+        for batch in sliced(batches):
             found = (shingle_hashes(t, shingle) for t in batch.column(2).to_pylist())
-            fps = np.array([folded(h, lanes) + (set_digest(h) if digests else []) for h in found], np.int64).reshape(-1, lanes + len(more))
+            if sets:
+                found = (np.unique(h) for h in found)
+            fps = np.array([folded(h, lanes) + (set_digest(h) if sets else []) for h in found], np.int64).reshape(-1, lanes + len(more))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(fps[:, k]) for k in range(fps.shape[1]))], schema=schema)
 
     rows = docs.select("_row", F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(hashed, ", ".join(f"{n} long" for n in names))
 
 
-def block_pairs(fp: Column, radius: int) -> Column:
-    """For one lane, one key per pair of the radius + 2 blocks: the pair's number and its bits."""
-    n = radius + 2
+def blocks_that_agree(n: int) -> int:
+    """The least g from 2 to 4 whose keys leave shards of n fingerprints at their usual size."""
+    return next((g for g, bits in ((2, 21), (3, 27)) if n <= USUAL << bits), 4)
+
+
+def block_pairs(fp: Column, radius: int, agree: int = 2) -> Column:
+    """For one lane, one key per choice of `agree` of the radius + agree blocks: the choice's number and its
+    bits."""
+    n = radius + agree
     edges = [64 * i // n for i in range(n + 1)]
     block = [F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)]
     width = max(b - a for a, b in zip(edges, edges[1:], strict=False))
-    return F.array(*[F.shiftleft(F.shiftleft(F.lit(k).cast("long"), width).bitwiseOR(block[i]), width).bitwiseOR(block[j]) for k, (i, j) in enumerate(combinations(range(n), 2))])
 
+    def key(number: int, chosen: tuple[int, ...]) -> Column:
+        out = F.lit(number).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, width).bitwiseOR(block[i])
+        return out
 
-def byte_pairs(lanes: int, tables: int) -> Column:
-    """For wide fingerprints, one key per table: its number and two of the fingerprint's bytes.
+    return F.array(*[key(k, chosen) for k, chosen in enumerate(combinations(range(n), agree))])
 
-    Bytes a step apart are paired, for steps 1, 2, 3 ... in turn, so that each pair is used once.
-    """
-    n = 8 * lanes
-    byte = [F.shiftrightunsigned(F.col(f"f{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(n)]
-    pairs = [(i, (i + step) % n) for step in range(1, n // 2) for i in range(n)][:tables]
-    return F.array(*[F.lit(k << 16).cast("long").bitwiseOR(F.shiftleft(byte[i], 8)).bitwiseOR(byte[j]) for k, (i, j) in enumerate(pairs)])
+
+def tables_for(n: int, share: float) -> tuple[int, int]:
+    """(hex digits of a key, number of tables) for n fingerprints: keys grow with the logarithm of n, so
+    that a shard has USUAL rows at most, and tables so that rows with `share` of their bits different
+    meet in five of them on average, and in one at least with a probability of 99 %."""
+    digits = next((g for g in range(4, 12) if n <= USUAL << (4 * g)), 12)
+    return digits, math.ceil(5 / (1 - share) ** (4 * digits))
+
+
+def digit_keys(lanes: int, digits: int, tables: int, seed: int = 7) -> Column:
+    """For wide fingerprints, one key per table: its number and `digits` of the fingerprint's hexadecimal
+    digits, drawn at random once and for all."""
+    rng = random.Random(seed)
+    digit = [F.shiftrightunsigned(F.col(f"f{i // 16}"), 4 * (i % 16)).bitwiseAND(F.lit(15)) for i in range(16 * lanes)]
+
+    def key(number: int) -> Column:
+        out = F.lit(number).cast("long")
+        for i in rng.sample(range(16 * lanes), digits):
+            out = F.shiftleft(out, 4).bitwiseOR(digit[i])
+        return out
+
+    return F.array(*[key(k) for k in range(tables)])
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,11 +167,11 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def bk_forest(first: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trees of fingerprints (rows x lanes); first: the index of each one's root.  (parent * base +
-    distance, child), sorted; base is the number of possible distances."""
+def bk_forest(first: np.ndarray, fps: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trees of the fingerprints (rows x lanes) that are held; first: the index of each one's root.
+    (parent * base + distance, child), sorted; base is the number of possible distances."""
     base = 64 * fps.shape[1] + 1
-    at, pending = first.copy(), np.flatnonzero(first != np.arange(len(fps)))
+    at, pending = first.copy(), np.flatnonzero(held & (first != np.arange(len(fps))))
     edges, children = [], []
     while len(pending):
         slot = at[pending] * base + distance(fps[pending], fps[at[pending]])
@@ -171,14 +203,14 @@ def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def shard_links(shard: np.ndarray, fps: np.ndarray, asks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of rows that are linked, each with the root of its set; rows are sorted by shard, and
-    fingerprints (rows x lanes) are distinct within one."""
+def shard_links(shard: np.ndarray, fps: np.ndarray, asks: np.ndarray, radius: int, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of rows that are linked, each with the root of its set; rows are sorted by shard, those
+    that are held (default: all) first, and fingerprints (rows x lanes) are distinct within one."""
     n, most = len(fps), 64 * fps.shape[1]
     new = np.r_[True, shard[1:] != shard[:-1]] if n else np.zeros(0, bool)
     starts = np.flatnonzero(new)
     first = np.repeat(starts, np.diff(np.r_[starts, n]))
-    edge, child = bk_forest(first, fps)
+    edge, child = bk_forest(first, fps, np.ones(n, bool) if held is None else held)
     label = np.arange(n)
     largest = int(np.diff(np.r_[starts, n]).max(initial=1))
     askers = np.flatnonzero(asks)
@@ -198,7 +230,7 @@ def shard_links(shard: np.ndarray, fps: np.ndarray, asks: np.ndarray, radius: in
     return linked, label[linked]
 
 
-def links_within(distinct: DataFrame, keys: Column, lanes: int, radius: int, hot: int = 4096, prune: bool = True) -> DataFrame:
+def links_within(distinct: DataFrame, keys: Column, lanes: int, radius: int, hot: int = HOT, prune: bool = True) -> DataFrame:
     """(a, b): links among the nodes of `distinct` (node, f0, ...), enough of them that their components
     are those of all pairs that share a key and differ in at most `radius` bits.
 
@@ -216,34 +248,38 @@ def links_within(distinct: DataFrame, keys: Column, lanes: int, radius: int, hot
     else:
         sizes = checkpointed(sizes)
         rows = keyed.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "shard", "left")  # 16 bytes each
-    rows = rows.withColumn("parts", F.ceil(F.coalesce("count", F.lit(1)) / hot).cast("int"))
-    rows = rows.select("shard", "node", *lane_names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
-    rows = rows.select("shard", "part", (F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part")).alias("asks"), "node", *lane_names)
-    rows = rows.repartition(shuffle_partitions(spark), "shard", "part").sortWithinPartitions("shard", "part", "node")
+    # Of n slices, a row's own meets each other one once: the lower of the two is the tree, the higher asks.
+    rows = rows.withColumn("slices", F.ceil(F.coalesce("count", F.lit(1)) / hot).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    rows = rows.select("shard", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"), "node", *lane_names)
+    rows = rows.select("shard", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("asker"), (F.col("own") <= F.col("other")).alias("held"), (F.col("own") >= F.col("other")).alias("asks"), "node", *lane_names)
+    order = ["shard", "tree", "asker"]
+    rows = rows.repartition(shuffle_partitions(spark), *order).sortWithinPartitions(*order, F.desc("held"), "node")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        held: list[list[np.ndarray]] = []
+        waiting: list[list[np.ndarray]] = []
+
+        def changes(columns: list[np.ndarray]) -> np.ndarray:
+            """Whether a row begins a new piece of work."""
+            return np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]
 
         def flush(columns: list[np.ndarray]) -> pa.RecordBatch:
-            shard, part, asks, node = columns[:4]
-            new = np.r_[True, (shard[1:] != shard[:-1]) | (part[1:] != part[:-1])]
-            a, b = shard_links(np.cumsum(new), np.stack(columns[4:], axis=1).view(np.uint64), asks, radius)
+            node = columns[5]
+            a, b = shard_links(np.cumsum(changes(columns)), np.stack(columns[6:], axis=1).view(np.uint64), columns[4], radius, columns[3])
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=schema)
 
         for batch in batches:
             if batch.num_rows:
-                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if sum(len(h[0]) for h in held) >= 100_000:  # what is before the last shard is complete
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.flatnonzero((columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1]))[0])
+                waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(h[0]) for h in waiting) >= 100_000:  # what is before the last piece is complete
+                columns = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+                cut = int(np.flatnonzero(changes(columns))[-1])
                 if cut:
                     yield flush([c[:cut] for c in columns])
-                held = [[c[cut:] for c in columns]]
-        if held:
-            yield flush([np.concatenate(c) for c in zip(*held, strict=True)])
+                waiting = [[c[cut:] for c in columns]]
+        if waiting:
+            yield flush([np.concatenate(c) for c in zip(*waiting, strict=True)])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return rows.mapInArrow(searched, "a long, b long")
 
 
@@ -264,9 +300,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     """
     hashed = checkpointed(fingerprints(docs.select("doc_id", "text", F.lit(0).cast("long").alias("_row")), shingle))
     distinct = checkpointed(hashed.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("f0")))
-    classes = rooted(distinct, block_pairs(F.col("f0"), radius), 1, radius)
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.select("f0", "root").join(least, "root").select(F.struct("f0").alias("key"), "component_id")
+    classes = rooted(distinct, block_pairs(F.col("f0"), radius, blocks_that_agree(distinct.count())), 1, radius)
+    # Keyed by a struct, both sides are dealt anew for the join, so that a very large component can be split.
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id")).select(F.struct("root").alias("of"), "component_id")
+    classes = classes.select("f0", F.struct("root").alias("of")).join(least, "of").select(F.struct("f0").alias("key"), "component_id")
     found = hashed.withColumn("key", F.struct("f0")).join(classes, "key")
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -304,13 +341,12 @@ def shingle_sets(rows: DataFrame, members: DataFrame, shingle: int) -> DataFrame
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("pivot", pa.int64()), ("shingles", pa.binary())])
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], schema=schema)
 
     texts = rows.select(F.col("_row").alias("node"), text_or_empty().cast("binary").alias("text"))
     found = texts.join(F.broadcast(members) if members.count() <= SEVERAL else members.hint("shuffle_hash"), "node")
-    python_batches(rows.sparkSession)
     return checkpointed(found.select("node", "root", "pivot", "text").mapInArrow(hashed, "node long, root long, pivot long, shingles binary"))
 
 
@@ -326,14 +362,13 @@ def verified_links(sets: DataFrame, block: int) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("node", pa.int64()), ("near", pa.bool_())])
-        for batch in batches:
+        for batch in sliced(batches, 64):
             near = []
             for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 near.append(bool(similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.bool_())], schema=schema)
 
-    python_batches(spark, 64)
     # Keyed by a struct, both sides are dealt anew for the join, so that a very large root can be split.
     pivots = sets.where("node = pivot").select(F.struct("root").alias("key"), F.col("shingles").alias("other"))
     others = sets.where("node <> pivot").withColumn("key", F.struct("root"))
@@ -366,7 +401,7 @@ def verified_links(sets: DataFrame, block: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(node[[x[k] for x in links]] if links else node[:0]) for k in (0, 1)], schema=schema)
 
         held: list[tuple] = []
-        for batch in batches:
+        for batch in sliced(batches, 64):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[-1][:3]:
                     yield flush(held)
@@ -378,25 +413,26 @@ def verified_links(sets: DataFrame, block: int) -> DataFrame:
     return checkpointed(stars.unionByName(rows.mapInArrow(searched, "a long, b long")))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int = 48, tables: int = 48, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int = 60, share: float = 0.1515, block: int = BLOCK) -> DataFrame:
     """The first row of each group of near copies, by doc_id (null ids last), with the columns it had.
 
     Near copies have a Jaccard similarity of at least 0.8 on the sets of their word shingles (hashed to
     64 bits), and groups are the components of such links.  Fingerprints only say which pairs may be
-    links.  A similarity of 0.8 on word shingles leaves about 15 % of a SimHash's bits different.  In 64
-    bits that can't be told from chance among very many texts, so fingerprints are `lanes` times as wide:
-    in 256 bits, 48 are reached by 95 % of such copies and by unrelated texts at ten deviations from
-    their mean.  Two rows meet in a shard if two of their bytes agree in one of `tables` pairs, which
-    nine of ten copies at 0.8 do, and nearly all closer ones; in a shard the search is exact.
+    links.  They are taken of the sets, so that what is repeated within a text can't hide what texts
+    share: sets of a similarity of 0.8 have a cosine of 0.889 at least, which leaves a share of 0.1515
+    of a SimHash's bits different.  In 64 bits that can't be told from chance among very many texts, so
+    fingerprints are `lanes` times as wide: in 256 bits, 60 are more than three deviations above the
+    mean of such copies (39) and eight below that of unrelated texts.  Two rows meet in a shard if they
+    agree on one of the keys of `tables_for`, and in a shard the search is exact.
 
     What fingerprints connect, equal ones too, is then compared by its shingles: a link of fingerprints
     lies inside such a set, so none that is true is lost.
     """
     rows, names = numbered(docs, "_row"), columns_of(lanes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("first")
-    texts = checkpointed(fingerprints(rows, shingle, lanes, digests=True).groupBy(*names, "s0", "s1").agg(first).select(*names, "first", F.col("first._row").alias("node")))
+    texts = checkpointed(fingerprints(rows, shingle, lanes, sets=True).groupBy(*names, "s0", "s1").agg(first).select(*names, "first", F.col("first._row").alias("node")))
     distinct = checkpointed(texts.groupBy(*names).agg(F.min("node").alias("node"), F.count("*").alias("n")))
-    classes = rooted(distinct, byte_pairs(lanes, tables), lanes, radius, prune=False)
+    classes = rooted(distinct, digit_keys(lanes, *tables_for(distinct.count(), share)), lanes, radius, prune=False)
     wide = classes.groupBy("root").agg(F.sum("n").alias("n"), F.min("node").alias("pivot")).where("n > 1").select(F.struct("root").alias("key"), "pivot")
     wide = classes.withColumn("key", F.struct("root")).join(wide, "key").select(F.struct(*names).alias("key"), "root", "pivot")
     members = checkpointed(texts.select(F.struct(*names).alias("key"), "node").join(wide, "key").select("node", "root", "pivot"))
