@@ -42,6 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder through the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
