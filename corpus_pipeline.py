@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.llm import linededup, mixing, packing, quality, simhash
-from tidewise.llm.common import ensure_checkpoint_dir, table
+from tidewise.llm.common import ensure_checkpoint_dir, removed, table
 from tidewise.llm.queries import tokenizer
 
 
@@ -30,8 +30,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of about 0.8 or more)
-    stays: the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays: the
+    one with the smallest doc_id."""
     return simhash.keep_one(docs, shingle=5)
 
 
@@ -58,14 +58,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what they keep is written below the shared checkpoint folder."""
+    """Applies the stages to documents; what they keep is written below the shared checkpoint folder, and
+    goes once the next stage is written, but for the rows that the result itself reads."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    *writing, (_, last) = STAGES
+    for k, (name, stage) in enumerate(writing):
+        here = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            removed(spark, before)
+        before = here
+    return last(spark, docs, sf_dir)
