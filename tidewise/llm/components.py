@@ -11,23 +11,24 @@ from .common import checkpointed
 def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) of longs -> (node, root): one root for all nodes that links connect.
 
-    Each round puts the nodes in a new random order (a hash of node and round); every node takes the
-    first of its neighbours and itself as its parent, parents are followed once more, and links are
-    rewritten to the parents.  A node of d neighbours stays with a probability of 1 / (d + 1), so half
-    of the nodes at most are expected to stay, whatever the links, and rounds grow with the logarithm of
-    the largest component.  Rounds are checkpointed.  Minima are partial aggregates and joins are plain
-    equi-joins, which adaptive execution splits where a node has very many links.  Self links and null
-    ends are dropped; no links give no rows.
+    Each round puts the nodes in an order, the first round by number and later ones at random (by a hash
+    of node and round); every node takes the first of its neighbours and itself as its parent, parents
+    are followed once more, and links are rewritten to the parents.  In a random order a node of d
+    neighbours stays with a probability of 1 / (d + 1), so half of the nodes at most are expected to
+    stay, whatever the links, and rounds grow with the logarithm of the largest component.  Rounds are
+    checkpointed, and put together from the last, which has the fewest nodes, to the first.  Minima are
+    partial aggregates and joins are plain equi-joins, which adaptive execution splits where a node has
+    very many links.  Self links and null ends are dropped; no links give no rows.
     """
     links = checkpointed(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     rounds: list[DataFrame] = []
 
     def ranked(node: str) -> Column:
-        return F.struct(F.xxhash64(node, F.lit(len(rounds))).alias("rank"), F.col(node).alias("node"))
+        return F.struct((F.xxhash64(node, F.lit(len(rounds))) if rounds else F.lit(0)).alias("rank"), F.col(node).alias("node"))
 
     while not links.isEmpty():
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        parents = checkpointed(both.groupBy("node").agg(F.min(ranked("other")).alias("first")).select("node", F.least("first", ranked("node"))["node"].alias("parent")))
+        parents = both.groupBy("node").agg(F.min(ranked("other")).alias("first")).select("node", F.least("first", ranked("node"))["node"].alias("parent"))
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         parents = checkpointed(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent")))
         rounds.append(parents)
@@ -35,7 +36,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         links = checkpointed(links.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if not rounds:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = rounds[0].withColumnRenamed("parent", "root")
-    for later in rounds[1:]:
-        found = found.join(later.select(F.col("node").alias("root"), F.col("parent").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    found = rounds.pop().withColumnRenamed("parent", "root")
+    while rounds:
+        later = found.select(F.col("node").alias("parent"), F.col("root").alias("next"))
+        found = checkpointed(rounds.pop().join(later, "parent", "left").select("node", F.coalesce("next", "parent").alias("root")))
     return found
