@@ -11,14 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, through Spark's own reader, so that any store Spark knows will do."""
+    """One input table of a query, through Spark's own reader, so that any store Spark knows will do.
+
+    Queries start here, so here, and nowhere in the operators, a session that names no bound gets one of
+    8 MB for the Arrow batches that Python workers are sent."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most so many rows, so that a Python worker unpacks a few texts at a
-    time.  The session's spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set) bounds batches."""
+    time.  The session bounds the batches themselves (see BATCH_BYTES)."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

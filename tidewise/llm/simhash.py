@@ -383,11 +383,14 @@ def verified_links(sets: DataFrame, block: int) -> DataFrame:
 
     def dealt(rows: DataFrame, asks: bool, own: str, other: str) -> DataFrame:
         part, every = F.pmod(F.xxhash64("node"), F.col(own)), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return rows.select("root", part.cast("int").alias("i" if asks else "j"), every.alias("j" if asks else "i"), F.lit(asks).alias("asks"), "node", "near", "shingles")
+        return rows.select("root", part.cast("int").alias("i" if asks else "j"), every.alias("j" if asks else "i"), F.lit(asks).alias("asks"), "node", "near", "shingles", "wide")
 
     columns = ["root", "i", "j", "asks", "node", "near", "shingles"]
-    rows = dealt(left.where("not near"), True, "high", "wide").select(columns).unionByName(dealt(left, False, "wide", "high").select(columns))
-    rows = rows.repartition(shuffle_partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "node", "asks")
+    rows = dealt(left.where("not near"), True, "high", "wide").unionByName(dealt(left, False, "wide", "high"))
+    # The blocks of a root are dealt to tasks in turn, so that none gets many of a very large one.
+    n = shuffle_partitions(spark)
+    turn = F.pmod(F.xxhash64("root") % n + F.col("i") * F.col("wide") + F.col("j"), F.lit(n)).cast("int")
+    rows = rows.repartitionById(n, turn).sortWithinPartitions("root", "i", "j", "node", "asks").select(columns)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -171,7 +171,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = 65_536
     columns = ["vec_id", "row", "embedding"]
     held = rows.select(own.alias("block"), F.lit(False).alias("asks"), *columns)
     asked = rows.where(F.col("vec_id") % every == 0).select(every_block.alias("block"), F.lit(True).alias("asks"), *columns)
-    dealt = held.unionByName(asked).repartition(max(blocks, shuffle_partitions(spark)), "block").sortWithinPartitions("block", "asks")
+    dealt = held.unionByName(asked).repartitionById(max(blocks, shuffle_partitions(spark)), F.col("block")).sortWithinPartitions("block", "asks")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, now = -1, Block(k, coarse)
