@@ -13,14 +13,14 @@ from collections.abc import Iterable, Mapping, Sequence
 from itertools import combinations
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.calendar import calendar
-from ..functions.windows import DAY, US, aggregate_over, default_periods, series, timed, trailing, with_us
+from ..functions.windows import DAY, US, aggregate_over, default_periods, micros, series, timed, trailing, with_us
 
-LONG_SPAN = 30
+LONG_SPAN = 10_000
 COMPARE = {
     "greater": lambda x, t: x > t,
     "less": lambda x, t: x < t,
@@ -131,27 +131,34 @@ def calc_statistical_features(
     return with_group(df, time, keys, features, groupers, make)
 
 
-def ewma_column(x: str, span: int, over: WindowSpec, min_periods: int) -> Column:
-    """The exponentially weighted mean of column x with weights (1 - a) ** age, a = 2 / (span + 1),
-    over as many rows as can matter in doubles; nulls only age what is before them."""
-    alpha = 2 / (span + 1)
-    keep = 1 - alpha
-    reach = math.ceil(math.log(1e-20) / math.log(keep)) if keep else 1
-    values = F.collect_list(F.struct(F.col(x).alias("v"))).over(over.rowsBetween(-reach, 0))
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
+def with_ewma(df: DataFrame, time: str, keys: Sequence[str], columns: Mapping[str, tuple[str, int, int]]) -> DataFrame:
+    """Adds exponentially weighted means; columns: name -> (x, span, min_periods).
 
-    def step(acc: Column, s: Column) -> Column:
-        there = s["v"].isNotNull()
-        return F.struct((acc["num"] * keep + F.when(there, s["v"]).otherwise(0.0)).alias("num"), (acc["den"] * keep + F.when(there, 1.0).otherwise(0.0)).alias("den"))
-
-    mean = F.aggregate(values, start, step, lambda a: F.try_divide(a["num"], a["den"]))
-    running = over.rowsBetween(-(2**63), 0)
-    value = F.coalesce(mean, F.last(x, ignorenulls=True).over(running))
-    return F.when(F.count(x).over(running) >= min_periods, value)
+    Weights are (1 - a) ** age, a = 2 / (span + 1); a null leaves the mean as it was and ages what is before it.  A series is cut
+    into blocks of as many rows as can matter in doubles, in which terms are weighted up instead of down:
+    a mean is the ratio of running sums of a row's block plus the sums of the block before, so the work is
+    linear in rows for any span, and nothing holds a whole series.
+    """
+    w = series(df, time, keys)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    at = micros(df, time) if US not in df.columns else F.col(US)
+    out = df.withColumn("__at", at).withColumn("__rn", F.row_number().over(w) - 1)
+    for name, (x, span, least) in columns.items():
+        keep = 1 - 2 / (span + 1)
+        size = math.ceil(math.log(1e-20) / math.log(keep)) if keep else 1
+        there = F.col(x).isNotNull()
+        up = F.pow(F.lit(1 / keep if keep else 1.0), F.col("__rn") % size)
+        out = out.withColumns({"__block": F.floor(F.col("__rn") / size), "__num": F.when(there, F.col(x) * up), "__den": F.when(there, up)})
+        own = Window.partitionBy(*keys, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(*keys).orderBy("__block").rangeBetween(-1, -1)
+        num, den = (F.coalesce(F.sum(c).over(own), F.lit(0.0)) + F.coalesce(F.sum(c).over(before), F.lit(0.0)) * (keep**size) for c in ("__num", "__den"))
+        out = out.withColumns({"__mean": F.when(there, F.try_divide(num, den)), "__seen": F.count(x).over(running)})
+        out = out.withColumn(name, F.when(F.col("__seen") >= least, F.last("__mean", ignorenulls=True).over(running))).drop("__block", "__num", "__den", "__mean", "__seen")
+    return out.drop("__at", "__rn")
 
 
 def ewma_by_pandas(df: DataFrame, time: str, keys: list[str], columns: dict[str, tuple[str, int, int, bool]]) -> DataFrame:
-    """Long spans and adjust=False: one pass over each series; columns: name -> (x, span, min_periods, adjust)."""
+    """adjust=False (and spans over LONG_SPAN): one pass over each series; columns: name -> (x, span, min_periods, adjust)."""
     import pandas as pd
     from pyspark.sql import types as T
 
@@ -185,11 +192,11 @@ def calc_ewma(
             for span in windows:
                 name, least = names.smoothed(f, span, lag, group), min_periods or default_periods(span)
                 if adjust and span <= LONG_SPAN:
-                    short[name] = ewma_column(f"__lag_{f}", span, w, least)
+                    short[name] = (f"__lag_{f}", span, least)
                 else:
                     long[name] = (f"__lag_{f}", span, least, adjust)
         if short:
-            frame = frame.withColumns(short)
+            frame = with_ewma(frame, time, own, short)
         if long:
             frame = ewma_by_pandas(frame, time, own, long)
         if crossovers:

@@ -30,11 +30,14 @@ def fold_bounds(n: int, folds: int, gap: int = 0) -> list[Bounds]:
 def positioned(df: DataFrame, time: str, keys: Sequence[str], unit: str = "date") -> tuple[DataFrame, int]:
     """df with __position, the rank of its date (or row), from 0, and the number of positions.
 
-    Dates are ranked on the table of distinct dates, which is joined back; rows need a global order.
+    Dates are ranked on the table of distinct dates, which is joined back.  A row's rank is the number of
+    rows of earlier dates, summed on that table too, and its place by key among those of its own date.
     """
     if unit == "row":
-        out = df.withColumn("__position", F.row_number().over(Window.orderBy(time, *keys)) - 1)
-        return out, df.count()
+        earlier = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+        dates = df.groupBy(time).agg(F.count("*").alias("__rows")).select(time, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__earlier"))
+        out = df.join(dates, time).withColumn("__position", F.col("__earlier") + F.row_number().over(Window.partitionBy(time).orderBy(*(keys or [time]))) - 1)
+        return out.drop("__earlier"), df.count()
     dates = df.select(time).distinct().withColumn("__position", F.row_number().over(Window.orderBy(time)) - 1)
     return df.join(dates, time), dates.count()
 

@@ -37,11 +37,9 @@ def fill_time_gaps(df: DataFrame, time: str, keys: Sequence[str], per_series: bo
         spans = spans.join(F.broadcast(df.agg(low, high)), F.lit(True))  # one row
     spine = spans.select(*keys, F.explode(F.sequence("__low", "__high", F.expr(f"interval {freq}"))).alias(time))
     spine = spine.withColumn(time, F.col(time).cast(df.schema[time].dataType))
-    out = joined_back(spine, df, [*keys, time])
+    out = joined_back(spine, df if fill_value is None else df.withColumn("__there", F.lit(True)), [*keys, time])
     if fill_value is not None:
         numeric = [m for m in measures if isinstance(df.schema[m].dataType, T.NumericType)]
-        there = joined_back(spine, df.select(*keys, time).withColumn("__there", F.lit(True)), [*keys, time])
-        out = joined_back(out, there, [*keys, time])
         out = out.withColumns({m: F.when(F.col("__there").isNull(), F.lit(fill_value).cast(df.schema[m].dataType)).otherwise(F.col(m)) for m in numeric}).drop("__there")
     return out.select(*df.columns)
 

@@ -205,7 +205,7 @@ def ewma_crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(out, PL_KEYS, "qty_ewma_roll7_lag1", "qty_ewma_roll14_lag1", "qty_ewma_roll7_lag1_cross14")
 
 
-@query("ewma_long_span")
+@query("ewma_long_span", ewma_sql((56,), "round(v56, 4) AS qty_ewma_roll56_lag1").replace("a.rn - 330", "a.rn - 1400"))
 def ewma_long_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(ops.calc_ewma(lineitem_panel(spark, sf_dir), "dt", PL_KEYS, "qty", [56], min_periods=1), PL_KEYS, "qty_ewma_roll56_lag1")
 
@@ -327,10 +327,15 @@ def correct_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.correct_negatives(load(spark, sf_dir, "customer"), "c_acctbal").select("c_custkey", "c_acctbal")
 
 
-@query("compress", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM customer")
+def _least_type(column: str) -> str:
+    """SQL: the name of the smallest integer type that holds the column (of values from 0)."""
+    return f"(SELECT CASE WHEN max({column}) < 128 THEN 'tinyint' WHEN max({column}) < 32768 THEN 'smallint' WHEN max({column}) < 2147483648 THEN 'int' ELSE 'bigint' END FROM customer)"
+
+
+@query("compress", f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey, {_least_type('c_custkey')} AS custkey_type, {_least_type('c_nationkey')} AS nationkey_type FROM customer")
 def compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = transforms.compress(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
-    return small.select(F.col("c_custkey").cast("bigint"), F.col("c_nationkey").cast("int"))
+    return small.select(F.col("c_custkey").cast("bigint"), F.col("c_nationkey").cast("int"), F.typeof("c_custkey").alias("custkey_type"), F.typeof("c_nationkey").alias("nationkey_type"))
 
 
 @query("join_demographics", "SELECT c_custkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -605,6 +610,38 @@ def trend_seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_panel(spark, sf_dir).predict("trend_seasonal", future_periods=3).get_predictions()
 
 
+@query("seasonal_normal_equations", "SELECT unnest(['__one', '__trend', '__sin_w1', '__cos_w1', '__sin_w2', '__cos_w2']) AS regressor, CAST(0 AS DOUBLE) AS mean_product, CAST(0 AS DOUBLE) AS outside")
+def seasonal_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What defines least squares: errors are orthogonal to every regressor.  Components sum to the forecast."""
+    from ..operators import models
+
+    frame = events_panel(spark, sf_dir).where("v is not null")
+    out = models.fit(frame, "dt", PE_KEYS, "v", "trend_seasonal").predict(frame, "p")
+    out, _ = models.waves(out.withColumn("__one", F.lit(1.0)), "dt")
+    error = F.col("v").cast("double") - F.col("p")
+    named = ["__one", "__trend", "__sin_w1", "__cos_w1", "__sin_w2", "__cos_w2"]
+    sums = out.agg(*(F.abs(F.round(F.avg(error * F.col(c)), 3)).alias(c) for c in named), F.abs(F.round(F.max(F.abs(F.col("trend") + F.col("yearly") + F.col("weekly") - F.col("p"))), 4)).alias("outside"))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("regressor"), F.col(c).alias("mean_product")) for c in named))).alias("x"), "outside").select("x.*", "outside")
+
+
+@query("quantile_blend", "SELECT c_custkey, round((0.3 * c_acctbal + 1.0 * c_custkey + 0.3 * coalesce(c_nationkey, 0)) / (1.3 + CASE WHEN c_nationkey IS NULL THEN 0 ELSE 0.3 END), 4) AS blend FROM customer")
+def quantile_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import models
+
+    out = models.blended(load(spark, sf_dir, "customer"), {0.1: "c_acctbal", 0.5: "c_custkey", 0.9: "c_nationkey"}, "blend")
+    return out.select("c_custkey", rounded("blend").alias("blend"))
+
+
+@query("row_folds", f"""WITH {PO}, r AS (SELECT *, row_number() OVER (ORDER BY dt, seg, prio) - 1 AS pos, count(*) OVER () AS rows FROM po),
+  b AS (SELECT unnest(range(0, 3)) AS fold), m AS (SELECT r.*, fold, CAST(floor(rows / 4) AS BIGINT) AS size FROM r, b),
+  s AS (SELECT *, CASE WHEN pos < rows - (3 - fold) * size THEN 'train' WHEN pos < rows - (2 - fold) * size THEN 'test' END AS sample FROM m)
+  SELECT CAST(fold AS INTEGER) AS fold, sample, count(*) AS n_rows, sum(pos) AS positions FROM s WHERE sample IS NOT NULL GROUP BY ALL""")
+def row_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, _ = split.positioned(orders_panel(spark, sf_dir), "dt", PO_KEYS, "row")
+    marked = split.fold_assignment(ranked, "dt", PO_KEYS, 3, 0, "row")
+    return marked.groupBy("fold", "sample").agg(F.count("*").alias("n_rows"), F.sum(F.col("__position").cast("long")).alias("positions"))
+
+
 @query("cv_errors")
 def cv_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = forecast_panel(spark, sf_dir).cross_validate("gbt", folds=2, params={"maxIter": [3], "maxDepth": [2, 3]}, n_iter=2, parallelism=1)

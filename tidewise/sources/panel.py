@@ -87,7 +87,7 @@ class Panel:
         return relational.missing_fractions(self.data())
 
     def save(self, path: str) -> None:
-        """Parquet for tables, JSON for the rest, the model in its own format."""
+        """Parquet for tables, folds too, JSON for the rest, the model in its own format."""
         self.frame.write.mode("overwrite").parquet(f"{path}/frame")
         if self.predictions is not None:
             self.predictions.write.mode("overwrite").parquet(f"{path}/predictions")
@@ -95,9 +95,12 @@ class Panel:
             table.write.mode("overwrite").parquet(f"{path}/codes/{c}")
         if self.model is not None:
             self.model.pipeline.write().overwrite().save(f"{path}/model")
+        for f in self.folds:
+            for sample, table in (("train", f.train), ("test", f.test)):
+                table.write.mode("overwrite").parquet(f"{path}/folds/{f.number}/{sample}")
         state = {
-            "time": self.time, "target": self.target, "keys": list(self.keys), "sample_size": self.sample_size, "codes": list(self.codes), "predictions": self.predictions is not None,
-            "specs": [s.to_json() for s in self.specs], "scalers": [[s.kind, list(s.features), s.given] for s in self.scalers], "model": [self.model.model, list(self.model.columns)] if self.model else None,
+            "folds": [[f.number, f.params, f.error] for f in self.folds], "time": self.time, "target": self.target, "keys": list(self.keys), "sample_size": self.sample_size, "codes": list(self.codes), "predictions": self.predictions is not None,
+            "specs": [s.to_json() for s in self.specs], "scalers": [[s.kind, list(s.features), s.given] for s in self.scalers], "model": [self.model.model, list(self.model.columns), list(self.model.shifts), self.model.spread] if self.model else None,
         }
         write_json(self.frame.sparkSession, f"{path}/state", state)
 
@@ -106,13 +109,14 @@ class Panel:
         s = read_json(spark, f"{path}/state")
         model = None
         if s["model"]:
-            model = models.Fitted(s["model"][0], s["time"], tuple(s["model"][1]), models.PipelineModel.load(f"{path}/model"))
+            model = models.Fitted(s["model"][0], s["time"], tuple(s["model"][1]), models.PipelineModel.load(f"{path}/model"), tuple(s["model"][2]), s["model"][3])
         from ..plans.specs import thawed
 
         return cls(
             spark.read.parquet(f"{path}/frame"), s["time"], s["target"], tuple(s["keys"]), s["sample_size"], tuple(Spec.from_json(x) for x in s["specs"]),
             tuple(ScalerSpec(k, tuple(f), frozen(thawed(g)) if g else None) for k, f, g in s["scalers"]), {c: spark.read.parquet(f"{path}/codes/{c}") for c in s["codes"]},
             spark.read.parquet(f"{path}/predictions") if s["predictions"] else None, model,
+            tuple(Fold(n, *(spark.read.parquet(f"{path}/folds/{n}/{sample}") for sample in ("train", "test")), params, error) for n, params, error in s["folds"]),
         )
 
     # Preparation: changes the frame
@@ -198,7 +202,8 @@ class Panel:
     # Forecasting
 
     def _coded(self) -> Panel:
-        """Text columns other than keys and time as codes: what models can read."""
+        """Text columns, keys too, as codes: what models can read, so that a series' key is a feature.
+        What comes out of a model is decoded again."""
         columns = [f.name for f in self.frame.schema if isinstance(f.dataType, T.StringType)]
         if not columns:
             return self
@@ -214,17 +219,17 @@ class Panel:
         out = replay(transforms.apply_scalers(frame, fitted), self.specs, self.context, dict(min_lag_dict or {}))
         return (out if include_history else out.where("__new")).drop("__new")
 
-    def predict(self, model: str = "gbt", future_periods: int | None = None, min_lag_dict: Mapping[str, int] | None = None, freq: str = "1 day", **params: Any) -> Panel:
+    def predict(self, model: str = "gbt", future_periods: int | None = None, min_lag_dict: Mapping[str, int] | None = None, freq: str = "1 day", quantile: float = 0.5, **params: Any) -> Panel:
         """Fits on the whole panel and forecasts its rows, and the future if asked; features of future
         rows beyond their lags are missing, as forecasts are never fed back."""
         own = self._coded()
         scaled, fitted = fit_scalers(own.frame, own.scalers)
         engineered = replay(scaled, own.specs, own.context, dict(min_lag_dict or {}))
-        made = models.fit(engineered, own.time, own.keys, own.target, model, **params)
+        made = models.fit(engineered, own.time, own.keys, own.target, model, quantile, **params)
         rows = own.make_future(future_periods, freq, True, fitted, min_lag_dict) if future_periods else engineered
         name = f"predicted_{own.target}"
         out = made.predict(rows, name)
-        out = out.withColumn(name, transforms.undo_on(F.col(name), own.target, fitted))
+        out = out.withColumns({c: transforms.undo_on(F.col(c), own.target, fitted) for c in (name, f"{name}_lower", f"{name}_upper", "trend") if c in out.columns and (c != "trend" or made.spread is not None)})
         out = relational.merge_actuals(out.drop(own.target), own.frame, own.time, own.keys, own.target)
         return replace(self, predictions=out, model=made, codes=own.codes)
 
@@ -239,7 +244,9 @@ class Panel:
             out = relational.hierarchy_column(out, self.keys)
         if full_output:
             return out
-        return out.select(self.time, self.target, f"predicted_{self.target}", *self.keys, *(["hierarchy"] if append_hierarchy_col else []))
+        name = f"predicted_{self.target}"
+        more = [c for c in ("trend", f"{name}_upper", f"{name}_lower") if c in out.columns and self.model is not None and self.model.spread is not None]
+        return out.select(self.time, self.target, name, *more, *self.keys, *(["hierarchy"] if append_hierarchy_col else []))
 
     def fold_frame(self, bounds: split.Bounds, unit: str = "date", min_lag_dict: Mapping[str, int] | None = None) -> tuple[DataFrame, list]:
         """A fold's rows with __train: scalers are fitted on train only, and features see train values but
@@ -260,9 +267,12 @@ class Panel:
 
     def cross_validate(
         self, model: str = "gbt", future_periods: int | None = None, params: Mapping[str, Sequence[Any]] | str | None = None, folds: int = 5, gap: int = 0, min_lag_dict: Mapping[str, int] | None = None,
-        search_strategy: str = "random", n_iter: int = 10, unit: str = "date", parallelism: int = 2, quantile: float = 0.5,
+        search_strategy: str = "random", n_iter: int = 10, unit: str = "date", parallelism: int = 2, quantile: float = 0.5, splitter: int | str = 3,
     ) -> Panel:
-        """Rolling-origin folds, each with its own search, then a forecast with the last fold's choice."""
+        """Rolling-origin folds, each with its own search, then a forecast with the last fold's choice.
+
+        A fold's search compares choices over `splitter` folds of whole dates, or one for each date
+        ("each")."""
         own = self._coded()
         _, n = split.positioned(own.frame, own.time, own.keys, unit)
         grid = models.get_params(model, params if isinstance(params, str) else "light") if params is None or isinstance(params, str) else dict(params)
@@ -273,7 +283,7 @@ class Panel:
             frame = frame.persist()  # search, fit and both forecasts read it
             train, test = frame.where("__train").drop("__train"), frame.where("not __train").drop("__train")
             try:
-                best, error = models.search(train, own.time, own.keys, own.target, model, grid, search_strategy, n_iter, quantile=quantile)
+                best, error = models.search(train, own.time, own.keys, own.target, model, grid, search_strategy, n_iter, splitter, quantile)
                 made = models.fit(train, own.time, own.keys, own.target, model, quantile, **best)
             finally:
                 frame.unpersist()
@@ -282,16 +292,16 @@ class Panel:
 
         with ThreadPoolExecutor(parallelism) as pool:
             found = tuple(pool.map(one, split.fold_bounds(n, folds, gap)))
-        done = self.predict(model, future_periods, min_lag_dict, **found[-1].params)
+        done = self.predict(model, future_periods, min_lag_dict, quantile=quantile, **found[-1].params)
         return replace(done, folds=found)
 
     def fold_predictions(self) -> DataFrame:
-        """All folds' forecasts with fold and sample."""
+        """All folds' forecasts with fold and sample, keys decoded."""
         parts = [df.select(self.time, *self.keys, self.target, f"predicted_{self.target}").withColumns({"fold": F.lit(f.number), "sample": F.lit(s)}) for f in self.folds for s, df in (("train", f.train), ("test", f.test))]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
+        return transforms.decode_categoricals(out, {c: t for c, t in self.codes.items() if c in self.keys})
 
     # Interpretation
 
