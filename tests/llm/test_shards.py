@@ -37,8 +37,9 @@ def test_one_hot_shard_in_slices(spark):
         assert partition([found.get(x, x) for x in signed]) == partition(brute_components(fps, 4))
 
 
+@pytest.mark.parametrize("last", [10_000, 40, 0])
 @pytest.mark.parametrize("shape", ["star with the largest as hub", "chain", "circle and pairs"])
-def test_contraction(spark, shape):
+def test_contraction(spark, shape, last):
     n = 300
     if shape == "star with the largest as hub":
         links, want = [(n, i) for i in range(n)], [0] * (n + 1)
@@ -49,7 +50,7 @@ def test_contraction(spark, shape):
     else:
         links = [(i, (i + 1) % 50) for i in range(50)] + [(i, i + 1) for i in range(50, n, 2)] + [(7, 7), (None, 3)]
         want = [0] * 50 + [1 + (i - 50) // 2 for i in range(50, n)]
-    found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), last).collect()}
     assert partition([found[i] for i in sorted(found)]) == partition(want) and len(found) == len(want)
 
 
