@@ -53,8 +53,10 @@ def connected_components(links: DataFrame, last: int = LAST) -> DataFrame:
     while links.count() > last:
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
         parents = both.groupBy("node").agg(F.min(ranked("other")).alias("first")).select("node", F.least("first", ranked("node"))["node"].alias("parent"))
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parents = checkpointed(parents.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent")))
+        # Keyed by a struct, both sides are dealt anew for the join, so that a parent of very many can be split.
+        up = parents.select(F.struct(F.col("node").alias("at")).alias("key"), F.col("parent").alias("grand"))
+        own = parents.withColumn("key", F.struct(F.col("parent").alias("at")))
+        parents = checkpointed(own.join(up, "key", "left").select("node", F.coalesce("grand", "parent").alias("parent")))
         rounds.append(parents)
         links = links.join(parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(parents.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
         links = checkpointed(links.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
