@@ -69,7 +69,8 @@ def fingerprint(text: str, bits: Column, name: str) -> Callable[[DataFrame], Dat
     first = f"filter(terms, h -> (shiftrightunsigned(h, {CLASS_BITS}) & (shiftleft(1L, level) - 1L)) < {SUBSETS})"
     own = f"filter(some, h -> (shiftrightunsigned(h, {CLASS_BITS}) & mask) = r)"
     hashes = f"transform(sequence(0L, {SUBSETS - 1}L), r -> element_at(transform(array({own}), s -> case when size(s) > 0 then lower(hex(xxhash64(s))) else '-' end), 1))"
-    at_level = f"element_at(transform(array(shiftleft(1L, level + k) - 1L), mask -> {hashes}), 1)"
+    left = f"filter(some, h -> (shiftrightunsigned(h, {CLASS_BITS}) & mask) < {SUBSETS})"  # half as many at each level
+    at_level = f"element_at(transform(array(shiftleft(1L, level + k) - 1L), mask -> element_at(transform(array({left}), some -> {hashes}), 1)), 1)"
     signed = f"""element_at(transform(array(1 + cast(floor(log2(cast(size(terms) as double))) as int)), level ->
       element_at(transform(array({first}), some -> concat(cast(level as string), '.', array_join(flatten(transform(sequence(0, {LEVELS - 1}), k -> {at_level})), '.'))), 1)), 1)"""
     whole = f"element_at(transform(_terms_in, terms -> case when size(terms) > 0 then {signed} else concat('-1.', {everything}) end), 1)"
